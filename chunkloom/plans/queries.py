@@ -1,6 +1,416 @@
-"""The registered queries of the storage engine and their DuckDB SQL."""
+"""The registered queries of the storage engine and their DuckDB SQL.
+
+Chunks come by content-defined cuts where the query's name says so, else by lines: dedup, packing,
+terms and reconstruction take any chunk table, and lines keep the SQL side short.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import gear, hashes, text
+from ..functions.hashes import chunk_hash, file_root, pack_root, verification
+from ..operators import chunking, dedup, packing, reconstruct
+from ..sources import formats, packs, shards
+
+PACK = 262_144
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.line_chunks(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+LINES = """l as (select doc_id as file, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, len(string_split(text, chr(10))) as n from documents),
+c0 as (select file, pos::bigint as chunk_ord, case when pos + 1 < n then line || chr(10) else line end as chunk from l),
+c as (select file, chunk_ord, strlen(chunk)::bigint as length, sha256(chunk) as chunk_key, chunk from c0 where strlen(chunk) > 0)"""
+FIRST = LINES + """,
+f as (select *, first_value(file) over w as first_file, first_value(chunk_ord) over w as first_ord from c window w as (partition by chunk_key order by file, chunk_ord)),
+m as (select *, file <> first_file or chunk_ord <> first_ord as is_dup from f)"""
+#: New chunks in order with the bytes before each; then one step of recursion for each pack.
+PACKED = FIRST + f""",
+s as (select file, chunk_ord, length, chunk_key, row_number() over w as seq, sum(length) over (w rows unbounded preceding) as upto from m where not is_dup window w as (order by file, chunk_ord)),
+p as (select 0::bigint as pack, 1::bigint as start, least((select min(seq) from s where upto > {PACK}), 8193)::bigint as stop
+  union all
+  select p.pack + 1, p.stop, least(coalesce(min(s.seq) filter (where s.upto > b.upto + {PACK} and s.seq > p.stop), 1099511627776), p.stop + 8192)
+  from p join s b on b.seq = p.stop - 1 join s on s.seq >= p.stop group by p.pack, p.stop),
+k as (select s.*, p.pack, (s.seq - p.start)::bigint as idx from s join p on s.seq >= p.start and s.seq < coalesce(p.stop, 1099511627776))"""
+TERMS = PACKED + """,
+pl as (select c.file, c.chunk_ord, c.length, k.pack, k.idx from c join k using (chunk_key)),
+op as (select *, case when lag(pack) over w = pack and lag(idx) over w + 1 = idx then 0 else 1 end as opens from pl window w as (partition by file order by chunk_ord)),
+tn as (select *, sum(opens) over (partition by file order by chunk_ord rows unbounded preceding) - 1 as term_ord from op),
+t as (select file, term_ord::bigint as term_ord, min(pack)::bigint as pack, min(idx)::bigint as "start", (max(idx) + 1)::bigint as "end", sum(length)::bigint as unpacked_length, count(*)::bigint as chunks, min(chunk_ord)::bigint as first_chunk from tn group by file, term_ord)"""
+
+
+def packed_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = lines(spark, sf_dir).drop("chunk")
+    none = spark.createDataFrame([], "chunk_key string")
+    return c, packing.assign_packs(dedup.new_chunks(c, none), PACK)
+
+
+def line_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, packed = packed_lines(spark, sf_dir)
+    return packing.file_terms(packing.placements(c.select("file", "chunk_ord", "length", "chunk_key"), packed))
+
+
+# Scans, chunks, hashes
+
+
+def _cuts_sql(target: int) -> str:
+    least, most, bits = gear.limits(target)
+    numbers = ", ".join(f"{int(x)}::hugeint" for x in gear.default_table())
+    last, steps = "h0", []
+    for i, k in enumerate((1, 2, 4, 8, 16, 32)):
+        steps.append(f"h{i + 1} as (select file, i, (h + coalesce(lag(h, {k}) over (partition by file order by i), 0) * {1 << k}::hugeint) % 18446744073709551616::hugeint as h from {last})")
+        last = f"h{i + 1}"
+    return f"""with recursive d as (select doc_id as file, hex(encode(text)) as x, strlen(text)::bigint as n from documents where text <> ''),
+b as (select file, x, unnest(range(1, n + 1)) as i from d),
+h0 as (select file, i, ([{numbers}])[(instr('0123456789ABCDEF', substr(x, (2 * i - 1)::bigint, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, (2 * i)::bigint, 1))] as h from b),
+{", ".join(steps)},
+cand as (select file, i from {last} where h < {1 << (64 - bits)}::hugeint),
+cut as (select file, 0::bigint as chunk_ord, 0::bigint as "offset", least(coalesce((select min(i) from cand where cand.file = d.file and i >= {least}), n), {most}, n)::bigint as e, n from d
+  union all
+  select cut.file, cut.chunk_ord + 1, cut.e, least(coalesce(min(cand.i), cut.n), cut.e + {most}, cut.n)::bigint, cut.n
+  from cut left join cand on cand.file = cut.file and cand.i >= cut.e + {least} where cut.e < cut.n group by cut.file, cut.chunk_ord, cut.e, cut.n)
+select file, chunk_ord, "offset", (e - "offset")::bigint as length from cut"""
+
+
+def cdc(spark: SparkSession, sf_dir: str, target: int) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return chunking.chunk_table(d, "doc_id", "content", target)
+
+
+@query(_cuts_sql(1024))
+def chunk_lengths_t1024(spark, sf_dir):
+    return cdc(spark, sf_dir, 1024).select("file", F.col("chunk_ord").cast("long").alias("chunk_ord"), "offset", "length")
+
+
+@query()
+def chunk_lengths_t65536(spark, sf_dir):
+    return cdc(spark, sf_dir, 65_536).select("file", F.col("chunk_ord").cast("long").alias("chunk_ord"), "offset", "length")
+
+
+@query("select doc_id, sha256(text) as sha256, strlen(text)::bigint as bytes from documents")
+def file_sha256(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query()
+def chunk_hash_blake3(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", chunk_hash(F.col("text").cast("binary")).alias("chunk_hash"))
+
+
+@query()
+def file_hash_blake3(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    c = chunking.chunk_table(d, "doc_id", "content", 1024, keep_content=True).withColumn("hash", chunk_hash("chunk"))
+    return packing.ordered(c).select("file", file_root("nodes").alias("file_hash"))
+
+
+@query()
+def pack_hash_blake3(spark, sf_dir):
+    c = lines(spark, sf_dir)
+    _, packed = packed_lines(spark, sf_dir)
+    h = packed.join(c.select("file", "chunk_ord", chunk_hash(F.col("chunk").cast("binary")).alias("hash")), ["file", "chunk_ord"])
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash", "length"))), lambda x: F.struct(x["hash"].alias("hash"), x["length"].alias("length")))
+    return h.groupBy("pack").agg(nodes.alias("nodes")).select("pack", pack_root("nodes").alias("pack_hash"))
+
+
+@query()
+def term_verification(spark, sf_dir):
+    c, packed = packed_lines(spark, sf_dir)
+    h = lines(spark, sf_dir).select("file", "chunk_ord", chunk_hash(F.col("chunk").cast("binary")).alias("hash"))
+    placed = packing.placements(c.select("file", "chunk_ord", "length", "chunk_key"), packed)
+    t = packing.file_terms(placed).select("file", "term_ord", "first_chunk", "chunks")
+    # the island's own chunks, by place in the file: no chunk is skipped within a term
+    j = h.join(t, "file").where((F.col("chunk_ord") >= F.col("first_chunk")) & (F.col("chunk_ord") < F.col("first_chunk") + F.col("chunks")))
+    g = j.groupBy("file", "term_ord").agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "hash"))).alias("h"))
+    return g.select("file", "term_ord", verification(F.transform("h", lambda x: x["hash"])).alias("verification"))
+
+
+@query("""with h as (select doc_id, sha256(text) as x from documents),
+s as (select doc_id, x, list_aggregate([list_aggregate([substr(x, 16 * g + 2 * b + 1, 2) for b in [7, 6, 5, 4, 3, 2, 1, 0]], 'string_agg', '') for g in [0, 1, 2, 3]], 'string_agg', '') as swapped from h)
+select doc_id, swapped, x as back from s""")
+def hex_word_swap(spark, sf_dir):
+    h = read(spark, sf_dir, "documents").select("doc_id", hashes.swapped(F.sha2(F.col("text").cast("binary"), 256)).alias("swapped"))
+    return h.withColumn("back", hashes.swapped(F.col("swapped")))
+
+
+@query(f"""with recursive {LINES}, h as (select distinct chunk_key from c),
+v as (select chunk_key, (instr('0123456789abcdef', substr(chunk_key, 62, 1)) - 1) * 256 + (instr('0123456789abcdef', substr(chunk_key, 63, 1)) - 1) * 16 + instr('0123456789abcdef', substr(chunk_key, 64, 1)) - 1 as low from h)
+select chunk_key, (low % 16)::bigint as rest from v where low % 16 = 0""")
+def hash_mod_sample(spark, sf_dir):
+    h = lines(spark, sf_dir).select("chunk_key").distinct()
+    return h.where(dedup.is_eligible(F.col("chunk_key"), 16)).select("chunk_key", hashes.remainder_of(F.col("chunk_key"), 16).alias("rest"))
+
+
+# Deduplication
+
+
+@query(f"with recursive {FIRST} select file, chunk_ord, length, chunk_key, first_file, first_ord, is_dup from m")
+def first_occurrence(spark, sf_dir):
+    return dedup.first_occurrence(lines(spark, sf_dir).select("file", "chunk_ord", "length", "chunk_key"))
+
+
+@query(f"""with recursive {FIRST} select source, count(*)::bigint as chunks, sum(length)::bigint as bytes, coalesce(sum(length) filter (where is_dup), 0)::bigint as dedup_bytes
+from m join documents on doc_id = file group by source""")
+def dedup_stats_by_source(spark, sf_dir):
+    m = dedup.first_occurrence(lines(spark, sf_dir).select("file", "chunk_ord", "length", "chunk_key"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "source")
+    return dedup.storage_stats(m.join(d, "file"), "source")
+
+
+@query(f"""with recursive {FIRST} select file, count(*)::bigint as chunks, sum(length)::bigint as bytes, coalesce(sum(length) filter (where is_dup), 0)::bigint as dedup_bytes from m group by rollup (file)""")
+def dedup_rollup(spark, sf_dir):
+    return dedup.storage_stats(dedup.first_occurrence(lines(spark, sf_dir).select("file", "chunk_ord", "length", "chunk_key")), "file", rollup=True)
+
+
+@query(f"""with recursive {FIRST}, st as (select distinct chunk_key from c where file in (select doc_id from labels where quality = 1))
+select file, chunk_ord, length, chunk_key from m where not is_dup and chunk_key not in (select chunk_key from st)""")
+def new_chunks_anti(spark, sf_dir):
+    """What good documents hold counts as stored."""
+    c = lines(spark, sf_dir)
+    good = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("file"))
+    return dedup.new_chunks(c, c.join(good, "file", "left_semi"))
+
+
+@query(f"""with recursive {LINES} select chunk_key, count(distinct file)::bigint as files, max(length)::bigint as length from c group by chunk_key having count(distinct file) > 1""")
+def shared_chunks_between_docs(spark, sf_dir):
+    return dedup.shared_chunks(lines(spark, sf_dir))
+
+
+@query("select source || '/' || lang as path, count(*)::bigint as n from documents group by 1 having count(*) > 1")
+def duplicate_paths(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.concat("source", F.lit("/"), "lang").alias("path"))
+    return dedup.duplicate_paths(d, "path")
+
+
+AS_OF = "2024-01-01 00:00:00"
+LANGS = ["de", "en", "es", "fr"]
+
+
+def _index(spark, sf_dir):
+    """A shard of stored lines for each language; the first has expired, others have not or never do."""
+    lang = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "lang")
+    c = lines(spark, sf_dir).join(lang, "file")
+    at = F.to_timestamp(F.lit(AS_OF))
+    order = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("lang")) - 1
+    expiry = F.when(order == 0, at).when(order == 1, at + F.expr("interval 1 second"))
+    return c.select(order.alias("shard_ord"), F.col("file").alias("pack"), F.col("chunk_ord").alias("idx"), "chunk_key", expiry.alias("expires_at"))
+
+
+@query(f"""with recursive {LINES}, sh as (select list_position(['de', 'en', 'es', 'fr'], lang) - 1 as shard_ord, file as pack, chunk_ord as idx, chunk_key from c join documents on doc_id = file where lang <> 'de'),
+b as (select *, row_number() over (partition by chunk_key order by shard_ord, pack, idx) as rn from sh)
+select c.file, c.chunk_ord, b.shard_ord::bigint as shard_ord, b.pack, b.idx from c left join b on b.chunk_key = c.chunk_key and b.rn = 1""")
+def shard_search(spark, sf_dir):
+    found = dedup.probe(lines(spark, sf_dir).select("file", "chunk_ord", "chunk_key"), _index(spark, sf_dir), F.to_timestamp(F.lit(AS_OF)))
+    return found.select("file", "chunk_ord", "shard_ord", "pack", "idx")
+
+
+@query()
+def hmac_probe(spark, sf_dir):
+    key = "0123456789abcdef" * 4
+    index = _index(spark, sf_dir)
+    keyed = index.withColumn("chunk_key", hashes.hmac_of(F.col("chunk_key"), key))
+    found = dedup.probe(lines(spark, sf_dir).select("file", "chunk_ord", "chunk_key"), keyed, F.to_timestamp(F.lit(AS_OF)), key)
+    return found.select("file", "chunk_ord", "shard_ord", "pack", "idx")
+
+
+# Packing and terms
+
+
+@query(f"with recursive {PACKED} select file, chunk_ord, length, chunk_key, pack, idx from k")
+def pack_assignment(spark, sf_dir):
+    return packed_lines(spark, sf_dir)[1].drop("grp")
+
+
+@query(f"with recursive {PACKED} select pack, idx, chunk_key, length, (coalesce(sum(length) over (partition by pack order by idx rows between unbounded preceding and 1 preceding), 0))::bigint as byte_range_start from k")
+def pack_listing(spark, sf_dir):
+    return packing.pack_listing(packed_lines(spark, sf_dir)[1]).select("pack", "idx", "chunk_key", "length", "byte_range_start")
+
+
+@query(f"with recursive {TERMS} select * from t")
+def file_terms(spark, sf_dir):
+    return line_terms(spark, sf_dir).drop("grp")
+
+
+@query(f"with recursive {TERMS} select file, count(*)::bigint as terms, sum(chunks)::bigint as chunks, sum(chunks)::double / count(*) as chunks_per_term from t group by file")
+def fragmentation_stats(spark, sf_dir):
+    g = line_terms(spark, sf_dir).groupBy("file").agg(F.count("*").alias("terms"), F.sum("chunks").alias("chunks"))
+    return g.withColumn("chunks_per_term", F.col("chunks") / F.col("terms"))
+
+
+@query(f"""with recursive {TERMS} select 48 * (3 + (select count(distinct file) from t) * 2 + (select count(*) from t) * 2 + (select count(distinct pack) from k) + (select count(*) from k))::bigint + 200 as shard_bytes""")
+def shard_sizes(spark, sf_dir):
+    c, packed = packed_lines(spark, sf_dir)
+    t = line_terms(spark, sf_dir).agg((F.count_distinct("file") * 2 + F.count("*") * 2).alias("n"))
+    p = packed.agg((F.count_distinct("pack") + F.count("*")).alias("m"))
+    return t.join(F.broadcast(p)).select((F.lit(48) * (3 + F.col("n") + F.col("m")) + 200).alias("shard_bytes"))
+
+
+# Reconstruction
+
+
+@query(f"""with recursive {TERMS} select file, term_ord, pack, unnest(range("start", "end"))::bigint as idx from t""")
+def term_expand(spark, sf_dir):
+    return reconstruct.expand_terms(line_terms(spark, sf_dir)).select("file", "term_ord", "pack", "idx")
+
+
+def _fetches(spark, sf_dir):
+    """Ranges of 64 chunks of each pack, two to a fetch, and one that overlaps each fetch's first."""
+    _, packed = packed_lines(spark, sf_dir)
+    r = packed.groupBy("pack", F.floor(F.col("idx") / 64).alias("r")).agg((F.max("idx") + 1).alias("end"))
+    own = r.select("pack", F.floor(F.col("r") / 2).alias("fetch_ord"), (F.col("r") % 2).alias("range_ord"), (F.col("r") * 64).alias("start"), "end")
+    again = own.where("range_ord = 0").select("pack", "fetch_ord", F.lit(2).cast("long").alias("range_ord"), "start", "end")
+    return own.unionByName(again)
+
+
+PLAN = TERMS + """,
+x as (select file, term_ord, pack, unnest(range("start", "end")) as idx from t),
+y as (select *, idx // 128 as fetch_ord, (idx // 64) % 2 as range_ord from x),
+z as (select *, case when lag(fetch_ord) over w = fetch_ord and lag(range_ord) over w = range_ord then 0 else 1 end as opens from y window w as (partition by file, term_ord order by idx)),
+sg as (select *, sum(opens) over (partition by file, term_ord order by idx rows unbounded preceding) - 1 as segment from z),
+plan as (select file, term_ord, pack, segment::bigint as segment, fetch_ord::bigint as fetch_ord, range_ord::bigint as range_ord, min(idx)::bigint as "start", (max(idx) + 1)::bigint as "end" from sg group by file, term_ord, pack, segment, fetch_ord, range_ord)"""
+
+
+@query(f"with recursive {PLAN} select * from plan")
+def range_plan(spark, sf_dir):
+    return reconstruct.plan_ranges(line_terms(spark, sf_dir), _fetches(spark, sf_dir))
+
+
+@query(f"""with recursive {PLAN}, g as (select file, pack, fetch_ord, min(struct_pack(a := term_ord, b := "start")) as first, max(term_ord) as last_term from plan group by file, pack, fetch_ord)
+select file, pack, fetch_ord, (dense_rank() over (partition by file order by first) - 1)::bigint as use_ord, last_term from g""")
+def fetch_liveness(spark, sf_dir):
+    segments = reconstruct.plan_ranges(line_terms(spark, sf_dir), _fetches(spark, sf_dir))
+    return reconstruct.fetch_liveness(segments).withColumn("use_ord", F.col("use_ord").cast("long"))
+
+
+@query(f"""with recursive {TERMS}, x as (select file, term_ord, pack, unnest(range("start", "end"))::bigint as idx from t) select * from x where idx // 64 % 3 = 0""")
+def coverage_violations(spark, sf_dir):
+    some = _fetches(spark, sf_dir).where("start / 64 % 3 <> 0")
+    return reconstruct.uncovered(line_terms(spark, sf_dir), some)
+
+
+@query(f"""with recursive {LINES}, o as (select *, coalesce(sum(length) over (partition by file order by chunk_ord rows between unbounded preceding and 1 preceding), 0) as "offset" from c)
+select file, chunk_ord, (least(length, 900 - "offset") - greatest(0, 100 - "offset"))::bigint as bytes from o where "offset" < 900 and "offset" + length > 100""")
+def range_read_trim(spark, sf_dir):
+    c = chunking.with_offsets(lines(spark, sf_dir)).withColumn("chunk", F.col("chunk").cast("binary"))
+    return reconstruct.trim(c, F.lit(100), F.lit(900)).select("file", "chunk_ord", "bytes")
+
+
+@query("select doc_id as file, sha256(text) as sha256, strlen(text)::bigint as bytes from documents where text <> ''")
+def reconstruct_text(spark, sf_dir):
+    """Every document rebuilt from its packs by its terms."""
+    c, packed = packed_lines(spark, sf_dir)
+    bodies = packed.join(lines(spark, sf_dir).select("file", "chunk_ord", "chunk"), ["file", "chunk_ord"]).select("pack", "idx", "length", F.col("chunk").cast("binary").alias("chunk"))
+    placed = reconstruct.expand_terms(line_terms(spark, sf_dir).select("file", "term_ord", "pack", "start", "end")).join(bodies, ["pack", "idx"])
+    pieces = placed.select("file", F.struct("term_ord", "idx").alias("chunk_ord"), F.col("chunk").alias("piece"))
+    return reconstruct.concatenated(pieces).select("file", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("bytes"))
+
+
+@query(f"with recursive {TERMS} select file, term_ord, unpacked_length + 1 as declared, unpacked_length as found from t where file % 10 = 3")
+def verify_lengths(spark, sf_dir):
+    c, packed = packed_lines(spark, sf_dir)
+    t = line_terms(spark, sf_dir).withColumn("unpacked_length", F.col("unpacked_length") + F.when(F.col("file") % 10 == 3, 1).otherwise(0))
+    return reconstruct.length_errors(t, packed)
+
+
+# Codecs and formats
+
+
+@query("""with d as (select doc_id, hex(encode(text)) as x, strlen(text) as n from documents)
+select doc_id, lower(concat(list_aggregate([substr(x, 2 * i + 1, 2) for i in range(0, n, 4)], 'string_agg', ''), list_aggregate([substr(x, 2 * i + 1, 2) for i in range(1, n, 4)], 'string_agg', ''),
+  list_aggregate([substr(x, 2 * i + 1, 2) for i in range(2, n, 4)], 'string_agg', ''), list_aggregate([substr(x, 2 * i + 1, 2) for i in range(3, n, 4)], 'string_agg', ''))) as grouped from d""")
+def byte_group4(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("c"))
+    return d.select("doc_id", F.lower(F.hex(gear.group4(F.col("c"), F.length("c")))).alias("grouped"))
+
+
+@query()
+def compress_choice(spark, sf_dir):
+    @F.pandas_udf("struct<scheme:int,stored:bigint,raw:bigint>")
+    def choose(c):
+        import pandas as pd
+
+        got = [packs.chosen(bytes(x)) for x in c]
+        return pd.DataFrame({"scheme": [s for s, _ in got], "stored": [len(p) for _, p in got], "raw": [len(x) for x in c]})
+
+    return read(spark, sf_dir, "documents").select("doc_id", choose(F.col("text").cast("binary")).alias("c")).select("doc_id", "c.*")
+
+
+@query(f"with recursive {PACKED} select pack, idx, chunk_key, length as raw from k")
+def pack_roundtrip(spark, sf_dir):
+    """Packs written to the binary format and read back."""
+    _, packed = packed_lines(spark, sf_dir)
+    bodies = packed.join(lines(spark, sf_dir).select("file", "chunk_ord", F.col("chunk").cast("binary").alias("chunk")), ["file", "chunk_ord"])
+    return packs.explode_packs(packs.build_packs(bodies)).select("pack", F.col("idx").cast("long").alias("idx"), F.sha2("chunk", 256).alias("chunk_key"), "raw")
+
+
+@query(f"""with recursive {TERMS} select sha256(file::varchar) as file_hash, term_ord, sha256('pack' || pack) as pack, unpacked_length, "start", "end" from t""")
+def shard_roundtrip(spark, sf_dir):
+    """Terms written as one shard for each file and read back."""
+    t = line_terms(spark, sf_dir).select(F.sha2(F.col("file").cast("string").cast("binary"), 256).alias("file_hash"), "term_ord", F.sha2(F.concat(F.lit("pack"), "pack").cast("binary"), 256).alias("pack"), "unpacked_length", "start", "end")
+
+    def write(pdf):
+        import pandas as pd
+
+        terms = tuple(shards.Term(r.pack, int(r.unpacked_length), int(r.start), int(r.end)) for r in pdf.sort_values("term_ord").itertuples())
+        return pd.DataFrame({"path": [pdf["file_hash"].iloc[0]], "content": [shards.write_shard(shards.Shard((shards.File(pdf["file_hash"].iloc[0], terms),)))]})
+
+    back = shards.read_shards(t.groupBy("file_hash").applyInPandas(write, "path string, content binary"), "terms")
+    return back.select("file_hash", F.col("term_ord").cast("long").alias("term_ord"), "pack", "unpacked_length", "start", "end")
+
+
+@query("""with f as (select doc_id::varchar as path, sha256(text) as s, strlen(text) as n from documents)
+select sha256('{"key":"header","value":{"summary":"all","description":""}}' || chr(10) || string_agg('{"key":"lfsFile","value":{"path":"' || path || '","algo":"sha256","oid":"' || s || '","size":' || n || '}}' || chr(10), '' order by path)) as payload_sha256 from f""")
+def commit_payload(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
+    return formats.commit_lines(d, "all").select(F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"))
+
+
+@query("select source, case when count(*) = count(nullif(n_chars, 100)) then sum(n_chars)::bigint end as total from documents group by source")
+def known_total_or_null(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("n", F.nullif("n_chars", F.lit(100)))
+    return d.groupBy("source").agg(text.known_total(F.col("n")).alias("total"))
+
+
+@query("""with u as (select page_id, url, (page_id * 1000)::bigint as done from pages)
+select page_id, string_split(url, '?')[1] as redacted, regexp_matches(url, '^(?i:https?)://[^/?#]+') as is_http, 'bytes=' || page_id || '-' || (page_id + 9) || ',' || (page_id + 20) || '-' || (page_id + 29) as range_header,
+  greatest(0.0::double, least(1.0::double, done::double / 50000)) as fraction, page_id as first, (page_id + 9)::bigint as last, 100::bigint as total from u""")
+def text_formats(spark, sf_dir):
+    u = read(spark, sf_dir, "pages")
+    one = lambda a: F.struct((F.col("page_id") + a).alias("start"), (F.col("page_id") + a + 9).alias("end"))
+    got = text.content_range(F.concat(F.lit("bytes "), F.col("page_id"), F.lit("-"), F.col("page_id") + 9, F.lit("/100")))
+    return u.select("page_id", text.redact(F.col("url")).alias("redacted"), text.is_http(F.col("url")).alias("is_http"), text.range_header(F.array(one(0), one(20))).alias("range_header"), text.fraction(F.col("page_id") * 1000, F.lit(50_000)).alias("fraction"), got["start"].alias("first"), got["end"].alias("last"), got["total"].alias("total"))
+
+
+@query("""select doc_id, case when doc_id % 7 = 0 then true else false end as whole,
+  case when doc_id % 7 <> 0 and 100 < n_chars then 100::bigint end as "start", case when doc_id % 7 <> 0 and 100 < n_chars then least(299, n_chars - 1)::bigint end as "end" from documents""")
+def range_normalized(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    all_ = F.col("doc_id") % 7 == 0
+    r = reconstruct.normalized_range(F.when(all_, 0).otherwise(100).cast("long"), F.when(~all_, 200).cast("long"), F.col("n_chars"))
+    return d.select("doc_id", r.alias("r")).select("doc_id", "r.*")
+
+
+@query("""select user_id::varchar as stream, count(*)::bigint as events, bool_or(event_type = 'purchase') as ended, count_if(event_type not in ('view', 'click', 'purchase'))::bigint as unknown from events group by 1""")
+def event_streams(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), F.to_json(F.struct(F.col("event_type").alias("type"))).alias("value"))
+    return formats.events(e, "user_id", "value", ("purchase",), ("view", "click", "purchase"))
