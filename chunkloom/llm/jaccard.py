@@ -394,7 +394,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component: the smallest id, then the smallest hash of the text;
     of rows that are alike one. Documents of an empty set all stay but for alike rows."""
     found = near_duplicates(docs, with_row=True)
-    group = F.when(F.col("n_shingles") == 0, F.struct(F.lit(True), F.col("doc_id").cast("string"), F.col("row"))).otherwise(F.struct(F.lit(False), F.col("component_id").cast("string"), F.when(F.col("component_id").isNull(), F.col("class"))))
+    part = lambda alone, i, k: F.struct(F.lit(alone).alias("alone"), i.alias("i"), k.alias("k"))
+    group = F.when(F.col("n_shingles") == 0, part(True, F.col("doc_id"), F.col("row"))).otherwise(part(False, F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("class"))))
     best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("b")).select(F.col("b.doc_id").alias("i"), F.col("b.row").alias("r"))
     cols = docs.columns
     d = docs.withColumn("_row", F.xxhash64("text"))
