@@ -260,8 +260,9 @@ def _bloom(ids: DataFrame, c: str, words: int = 1 << 18) -> np.ndarray:
     return out
 
 
-def _candidate_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, n, bits, tokens: the set of each class, read again at one of its documents."""
+def _sets_of(docs: DataFrame, rows: DataFrame, classes: DataFrame, tokens: bool, name: str) -> DataFrame:
+    """class, n and bits, or with tokens class, tokens: the set of each of classes, made again from one of
+    its documents. Sets are read for what is left to compare only: they don't compress."""
     reps = rows.join(classes, "class").groupBy("class").agg(F.min("row").alias("row"))
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(reps, "row"))
     words = len(bits.value)
@@ -272,18 +273,23 @@ def _candidate_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> Dat
             h = b.column(1).to_numpy(zero_copy_only=False)
             ok = table[np.mod(h, words)] >> np.mod(h >> 32, 64) & 1
             sets = [s for s in (shingles(t) for t in b.column(0).filter(pa.array(ok.astype(bool))).to_pylist()) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([_packed(s) for s in sets], pa.binary())], ["class", "n", "bits", "tokens"])
-
-    found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(run, "class long, n long, bits binary, tokens binary")
+            ids = pa.array([class_of(s) for s in sets], pa.int64())
+            if tokens:
+                yield pa.RecordBatch.from_arrays([ids, pa.array([_packed(s) for s in sets], pa.binary())], ["class", "tokens"])
+            else:
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["class", "n", "bits"])
+
+    kinds = "tokens binary" if tokens else "n long, bits binary"
+    found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(run, f"class long, {kinds}")
     # texts that differ in case or spacing may share a set: one row a class
-    return staged(found.join(classes, "class", "left_semi").dropDuplicates(["class"]), "candidate-sets")
+    return staged(found.join(classes, "class", "left_semi").dropDuplicates(["class"]), name)
 
 
 def _maps(bits: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, WORDS)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, light: DataFrame, docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """a, b of the pairs that link: first by size and bitmap, then by the sets."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +303,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
             ok = [linked(_unpacked(x), _unpacked(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    def both(p: DataFrame, *cols: str) -> DataFrame:
+    def both(p: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
         one = lambda c, k: sets.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}{k}") for x in cols])
         return p.join(one("a", 1), "a").join(one("b", 2), "b").select("a", "b", *[f"{x}{k}" for k in (1, 2) for x in cols])
 
-    left = staged(both(pairs, "n", "bits").mapInArrow(bound, "a long, b long"), f"{name}-bound")
-    return staged(both(left, "tokens").mapInArrow(exact, "a long, b long"), f"{name}-links")
+    left = staged(both(pairs, light, "n", "bits").mapInArrow(bound, "a long, b long"), f"{name}-bound")
+    there = left.select(F.col("a").alias("class")).union(left.select("b")).distinct()
+    sets = _sets_of(docs, rows, there, True, f"{name}-sets")
+    return staged(both(left, sets, "tokens").mapInArrow(exact, "a long, b long"), f"{name}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -323,13 +331,12 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def _tree_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def _tree_pairs(shared: DataFrame, roots: DataFrame, light: DataFrame, parts: int) -> DataFrame:
     """a, b: pairs that star edges did not try, from keys whose classes are in several components."""
     rows = shared.select("key", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
     # in a group of two, the center has met the other already; equal groups count once
     groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
     groups = groups.where("size > 2 and c1 <> c2").groupBy("x", "y", "size").agg(F.min("key").alias("key"))
-    light = sets.select("class", "n", "bits")
     rows = rows.join(groups.select("key", "size"), "key").join(light, "class")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
@@ -377,10 +384,10 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     often, counts = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(often)
     shared = _shared_keys(docs, often[order], counts[order], parts)
-    sets = _candidate_sets(docs, rows, shared.select("class").distinct())
+    light = _sets_of(docs, rows, shared.select("class").distinct(), False, "candidates")
     star = shared.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
-    links = _verified(star, sets, "star")
-    more = _verified(_tree_pairs(shared, components(links), sets, parts), sets, "tree")
+    links = _verified(star, light, docs, rows, "star")
+    more = _verified(_tree_pairs(shared, components(links), light, parts), light, docs, rows, "tree")
     roots = components(links.union(more))
     by_class = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     by_class = by_class.withColumn("root", F.coalesce("root", "class"))
