@@ -59,10 +59,11 @@ class Pieces:
         self.tokenizer, self.dtype, self.kept = tokenizer, dtype, {}
 
     def learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in set(pieces) if p not in self.kept]
+        wanted = set(pieces)  # read once: pieces may be a generator
+        new = [p for p in wanted if p not in self.kept]
         if len(self.kept) + len(new) > CACHE:
             self.kept.clear()
-            new = list(set(pieces))
+            new = list(wanted)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):

@@ -378,3 +378,16 @@ def test_pipeline(spark):
         out.write.mode("overwrite").parquet(path := f"/tmp/chunkloom-test-{name}")
         docs = spark.read.parquet(path)
     assert docs.count() > 0
+
+
+def test_pieces_outlive_a_full_cache(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE", 8)
+    codec = bpe.Codec({bytes([b]): b for b in range(256)}, r"\S+|\s+")
+    pieces = bpe.Pieces(Tokenizer.from_str(codec.json), "<u4")
+    for k in range(40):
+        text = " ".join(f"w{(i * 7 + k) % 23}" for i in range(k)) + " again again"
+        for _ in range(2):
+            (ids,) = pieces.encode([text], bpe.cut_at_spaces)
+            assert bytes(np.frombuffer(ids, "<u4").astype("u1")) == text.encode()
