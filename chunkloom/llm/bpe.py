@@ -16,6 +16,7 @@ import base64
 import codecs
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-#: Pieces kept by a worker; beyond, its cache starts afresh.
-CACHE = 300_000
+#: Pieces in a generation of a worker's cache (some 200 bytes each).
+CACHE = 400_000
 
 
 def byte_chars() -> list[str]:
@@ -53,17 +54,26 @@ def recovered_merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 class Pieces:
-    """Encodes pieces by a tokenizer, each distinct one once while the cache lasts."""
+    """Encodes pieces by a tokenizer, each distinct one once while the cache lasts. The cache has two
+    generations: where the young one is full it becomes the old one, and pieces still in use come
+    back from there, so frequent ones stay however many rare ones pass."""
 
     def __init__(self, tokenizer: Tokenizer, dtype: str):
-        self.tokenizer, self.dtype, self.kept = tokenizer, dtype, {}
+        # a task has one core; threads over pieces of a few bytes take twice the CPU time
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.dtype, self.kept, self.old = tokenizer, dtype, {}, {}
 
     def learn(self, pieces: Iterable[str]) -> None:
         wanted = set(pieces)  # read once: pieces may be a generator
-        new = [p for p in wanted if p not in self.kept]
-        if len(self.kept) + len(new) > CACHE:
-            self.kept.clear()
-            new = list(wanted)
+        if len(self.kept) + len(wanted) > CACHE:
+            self.kept, self.old = {}, self.kept
+        new = []
+        for p in wanted.difference(self.kept):
+            ids = self.old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                self.kept[p] = ids
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
