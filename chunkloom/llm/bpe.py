@@ -56,12 +56,20 @@ def recovered_merges(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 class Pieces:
     """Encodes pieces by a tokenizer, each distinct one once while the cache lasts. The cache has two
     generations: where the young one is full it becomes the old one, and pieces still in use come
-    back from there, so frequent ones stay however many rare ones pass."""
+    back from there, so frequent ones stay however many rare ones pass.
 
-    def __init__(self, tokenizer: Tokenizer, dtype: str):
+    word_end: the suffix of tokens that end a word, for tokenizers that drop white space. Pieces of
+    letters are then encoded many at a time as one text and told apart by these tokens; where their
+    number isn't that of the pieces, each of them is encoded alone."""
+
+    def __init__(self, tokenizer: Tokenizer, dtype: str, word_end: str | None = None):
         # a task has one core; threads over pieces of a few bytes take twice the CPU time
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.dtype, self.kept, self.old = tokenizer, dtype, {}, {}
+        self.tokenizer, self.dtype, self.kept, self.old, self.ends = tokenizer, dtype, {}, {}, None
+        if word_end:
+            vocab = tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values(), default=-1) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(word_end)]] = True
 
     def learn(self, pieces: Iterable[str]) -> None:
         wanted = set(pieces)  # read once: pieces may be a generator
@@ -74,11 +82,31 @@ class Pieces:
                 new.append(p)
             else:
                 self.kept[p] = ids
+        if self.ends is not None:
+            new = [p for p in new if not p.isalpha()] + self._learn_words([p for p in new if p.isalpha()])
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.kept[p] = np.array(e.ids, self.dtype).tobytes()
 
+    def _learn_words(self, words: list[str]) -> list[str]:
+        """Returns the words that have to be encoded alone."""
+        alone, width = [], np.dtype(self.dtype).itemsize
+        lines = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for at in range(0, len(lines), 64):
+            part = lines[at : at + 64]
+            for line, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                ends = (np.flatnonzero(self.ends[ids]) + 1) * width
+                if len(ends) != len(line):
+                    alone += line
+                    continue
+                raw, start = ids.tobytes(), 0
+                for p, end in zip(line, ends.tolist()):
+                    self.kept[p] = raw[start:end]
+                    start = end
+        return alone
+
     def encode(self, texts: list[str], cut: Callable[[str], list[str]]) -> Iterator[bytes]:
         """Each text's ids as little-endian integers. Texts go in groups, so that memory holds a
         bounded number of pieces besides those of one text."""

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -37,10 +39,18 @@ from .common import new_path
 #: this many bytes at most.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 512, 20_000, 65_536
 BLOCK_BYTES, BLOCK_DOCS, LEVEL = 1 << 20, 4096, 3
-_TAIL = ".,:;!?|"
+#: ASCII marks but the apostrophe, which can go with letters.
+_TAIL = string.punctuation.replace("'", "")
+#: The suffix of tokens that end a word.
+WORD_END = "</w>"
 _SPACE, _SEPARATOR = re.compile(r"[ \t\n\x0b\x0c\r]+"), re.compile(r"[\x1c-\x1f]")
 
 
+def _stays_letter(c: str) -> bool:
+    """Whether c as the tokenizer normalizes it is letters alone: a mark would go with what follows."""
+    return c.isascii() or unicodedata.normalize("NFC", c).lower().isalpha()
+
+
 def cut_words(text: str) -> list[str]:
     """Pieces between ASCII white space; marks that end a word of letters are cut off. The
     tokenizer drops white space and matches letters and marks apart, so ids just line up."""
@@ -51,7 +61,7 @@ def cut_words(text: str) -> list[str]:
             out.append(p)
             continue
         word = p.rstrip(_TAIL)
-        if word != p and word.isalpha():
+        if word != p and word.isalpha() and _stays_letter(word[-1]):
             out.append(word)
             out.append(p[len(word) :])
         else:
@@ -66,7 +76,7 @@ def _pieces(text: str, dtype: str) -> Pieces:
     key = hashlib.sha256(text.encode()).hexdigest() + dtype
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = Pieces(Tokenizer.from_str(text), dtype)
+        _WORKER[key] = Pieces(Tokenizer.from_str(text), dtype, WORD_END)
     return _WORKER[key]
 
 

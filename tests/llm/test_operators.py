@@ -1,5 +1,6 @@
 """Edge cases of all operators, and brute-force or library versions where SQL can't express them."""
 
+import functools
 import hashlib
 import io
 import random
@@ -391,3 +392,31 @@ def test_pieces_outlive_a_full_cache(monkeypatch):
         for _ in range(2):
             (ids,) = pieces.encode([text], bpe.cut_at_spaces)
             assert bytes(np.frombuffer(ids, "<u4").astype("u1")) == text.encode()
+
+
+def test_words_encoded_together_are_as_encoded_alone():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["İstanbul ΣΑΣ ﬁne Straße don't stop*** we&&& it's<|endoftext|> a_b_ x^2 日本語 naïve été", "<|startoftext|> " + " ".join(f"wörd{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(500)), "", "Ǆ ŉ ʼn abcİ def", "word's' 'tis rock'n'roll--- (a) [b]] {c}~"]
+    got = list(bpe.Pieces(t, "<u2", token_files.WORD_END).encode(texts, token_files.cut_words))
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abZéßİΣǆ1٣ '’.*&$<|>_-́  \x1c\n"), max_size=30), max_size=4))
+def test_cut_words_line_up_with_the_tokenizer(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = _word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    got = list(bpe.Pieces(t, "<u2", token_files.WORD_END).encode(texts, token_files.cut_words))
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@functools.lru_cache(1)
+def _word_tokenizer(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
