@@ -106,7 +106,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path:
     t = Tokenizer.from_file(tokenizer)
     text, dtype = t.to_str(), "<u2" if t.get_vocab_size() <= 65_536 else "<u4"
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    few = d.select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE)
+    # ids alone give the hash that bounds the sample; then only rows within it reach the driver
+    h = F.xxhash64("doc_id")
+    bound = [r["h"] for r in d.select(h.alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    few = d.where(h <= (bound[-1] if bound else 0)).select(h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE)
     pieces = _pieces(text, dtype)
     data = train_dictionary(list(pieces.encode([r["t"] for r in few.collect()], cut_words)), dictionary_bytes)
     sha = hashlib.sha256(data).hexdigest()
