@@ -71,8 +71,7 @@ class Pieces:
             self.ends = np.zeros(max(vocab.values(), default=-1) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(word_end)]] = True
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        wanted = set(pieces)  # read once: pieces may be a generator
+    def learn(self, wanted: set[str]) -> None:
         if len(self.kept) + len(wanted) > CACHE:
             self.kept, self.old = {}, self.kept
         new = []
@@ -121,7 +120,7 @@ class Pieces:
         yield from self._join(group)
 
     def _join(self, group: list[list[str]]) -> Iterator[bytes]:
-        self.learn(p for g in group for p in g)
+        self.learn(set().union(*group))
         get = self.kept.__getitem__
         for g in group:
             yield b"".join(map(get, g))
