@@ -8,7 +8,8 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets l
    ``n - ceil(0.75 n) + 1`` are its keys: sets that link share a key, whatever the order.
    (key, class) pairs travel as packed arrays, dealt by key; keys of one class alone end there.
 3. Of each key that is left, the lowest class is a center; (center, class) pairs are joined first,
-   which merges groups of copies without their pairs being made.
+   each class with its lowest center, then with those centers that are in other components still.
+   This merges groups of copies without their pairs being made.
 4. Keys whose classes are not all in one component yet get a signature tree each: leaves of a few
    sets, nodes with OR-combined bitmaps of their tokens and ranges of set size. Dual traversal
    drops node pairs whose sizes are too far apart, whose greatest possible overlap is too small,
@@ -375,6 +376,13 @@ def _tree_pairs(shared: DataFrame, roots: DataFrame, light: DataFrame, parts: in
     return found.join(tested, ["a", "b"], "left_anti")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b of the pairs whose classes are in different components."""
+    for c in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id; with_row also row, the hash of the text (null for null)."""
     spark = docs.sparkSession
@@ -386,7 +394,9 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     shared = _shared_keys(docs, often[order], counts[order], parts)
     light = _sets_of(docs, rows, shared.select("class").distinct(), False, "candidates")
     star = shared.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
-    links = _verified(star, light, docs, rows, "star")
+    # a class first meets its lowest center alone; its other centers only where that merged them not
+    first = _verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), light, docs, rows, "first")
+    links = first.union(_verified(_apart(star, components(first)), light, docs, rows, "star"))
     more = _verified(_tree_pairs(shared, components(links), light, parts), light, docs, rows, "tree")
     roots = components(links.union(more))
     by_class = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
