@@ -7,15 +7,19 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets l
 2. Each set's shingles are ordered, those that repeat in the corpus last, and the first
    ``n - ceil(0.75 n) + 1`` are its keys: sets that link share a key, whatever the order.
    (key, class) pairs travel as packed arrays, dealt by key; keys of one class alone end there.
-3. Of each key that is left, the lowest class is a center; (center, class) pairs are joined first,
-   each class with its lowest center, then with those centers that are in other components still.
-   This merges groups of copies without their pairs being made.
+3. Of each key that is left, the lowest class is a center; each class is compared with its lowest
+   center first, then with those centers that are in other components still.
 4. Keys whose classes are not all in one component yet get a signature tree each: leaves of a few
    sets, nodes with OR-combined bitmaps of their tokens and ranges of set size. Dual traversal
    drops node pairs whose sizes are too far apart, whose greatest possible overlap is too small,
-   or that are in one component already. Keys with equal groups are done once. Groups of more than
-   CHUNK classes are dealt in chunk pairs.
-5. Pairs that are left are compared set by set; links give components by star contraction.
+   or that are in one component already. Keys with equal groups are done once.
+5. Merging rounds come first: a traversal takes each pair that it meets for a link, so a group gives
+   fewer pairs than it has components, and each component tries the likeliest one. Groups of near
+   copies, nearly all of whose pairs link, grow together in a few rounds without their pairs being
+   made. Groups of more than CHUNK classes are dealt in chunks, other ones each round.
+6. When few of a round's pairs link, the trees give all pairs between components that are left, in chunk
+   pairs; none is needed within a group's largest component. They are compared set by set; links
+   give components by star contraction.
 
 Bitmaps bound the overlap from above (bits in common, plus what either set has in excess of
 its bits), so pruning loses no link.
@@ -43,6 +47,8 @@ from .common import staged
 K, PERCENT = 5, 75
 #: Classes of a key that one tree holds; sets of a leaf and children of a node; 64-bit words of a bitmap.
 CHUNK, LEAF, FANOUT, WORDS = 4096, 16, 8, 32
+#: Merging rounds end when fewer than one of this many pairs tried links; it affects speed only.
+GOING = 5
 #: Repeated shingles kept for the order of keys, by count; it affects speed only.
 FREQUENT, LEAST_COUNT = 400_000, 8
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33), np.uint64(0x9E3779B97F4A7C15))
@@ -83,11 +89,15 @@ def needed(a, b):
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def room(n1: np.ndarray, m1: np.ndarray, n2: np.ndarray, m2: np.ndarray) -> np.ndarray:
+    """By pair: the greatest overlap that bitmaps leave room for."""
+    over = np.minimum(n1 - np.bitwise_count(m1).sum(-1, dtype=np.int64), n2 - np.bitwise_count(m2).sum(-1, dtype=np.int64))
+    return np.bitwise_count(m1 & m2).sum(-1, dtype=np.int64) + over
+
+
 def may_link(n1: np.ndarray, m1: np.ndarray, n2: np.ndarray, m2: np.ndarray) -> np.ndarray:
     """By pair: whether sizes and bitmaps leave room for a link."""
-    over = np.minimum(n1 - np.bitwise_count(m1).sum(-1, dtype=np.int64), n2 - np.bitwise_count(m2).sum(-1, dtype=np.int64))
-    room = np.bitwise_count(m1 & m2).sum(-1, dtype=np.int64) + over >= needed(n1, n2)
-    return room & (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2))
+    return (room(n1, m1, n2, m2) >= needed(n1, n2)) & (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2))
 
 
 def linked(s1: np.ndarray, s2: np.ndarray) -> bool:
@@ -140,6 +150,37 @@ class Tree:
             if len(p):
                 yield x[p], y[q]
 
+    def spanning(self, seed: int, best: bool) -> Iterator[tuple[int, int, float]]:
+        """Rows that may link and their score, where each pair given is taken for a link: never more
+        than there are components less one. best: a leaf pair's likeliest come first, else any."""
+        comp, rng, todo = self.comp.copy(), np.random.default_rng(seed), [(self.root, self.root)]
+        alike = lambda c, x: bool((c == x).all())
+        while todo:
+            i, j = todo.pop()
+            a, b = self.nodes[i], self.nodes[j]
+            if 100 * a[3] < PERCENT * b[2] or 100 * b[3] < PERCENT * a[2]:
+                continue
+            if alike(comp[a[0] : a[1]], comp[a[0]]) and alike(comp[b[0] : b[1]], comp[a[0]]):
+                continue
+            if int(np.bitwise_count(a[4] & b[4]).sum()) + min(a[5], b[5]) < needed(a[2], b[2]):
+                continue
+            if a[7] or b[7]:
+                if a[7] and (not b[7] or a[1] - a[0] >= b[1] - b[0]):
+                    more = [(k, j) for k in a[7] if self.nodes[k][0] < b[1]]
+                else:
+                    more = [(i, k) for k in b[7] if a[0] < self.nodes[k][1]]
+                todo += [more[k] for k in rng.permutation(len(more))]
+                continue
+            x, y = np.arange(a[0], a[1]), np.arange(b[0], b[1])
+            score = room(self.n[x][:, None], self.maps[x][:, None, :], self.n[y][None, :], self.maps[y][None, :, :]) / needed(self.n[x][:, None], self.n[y][None, :])
+            fits = (score >= 1) & (100 * np.minimum(self.n[x][:, None], self.n[y]) >= PERCENT * np.maximum(self.n[x][:, None], self.n[y])) & (x[:, None] < y)
+            if not best:
+                score = 1 + rng.random(score.shape)
+            while (ok := fits & (comp[x][:, None] != comp[y])).any():
+                p, q = np.unravel_index(np.where(ok, score, 0).argmax(), ok.shape)
+                yield int(x[p]), int(y[q]), float(score[p, q])
+                comp[comp == comp[y[q]]] = comp[x[p]]
+
 
 def _keys(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n = len(s)
@@ -332,48 +373,100 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def _tree_pairs(shared: DataFrame, roots: DataFrame, light: DataFrame, parts: int) -> DataFrame:
-    """a, b: pairs that star edges did not try, from keys whose classes are in several components."""
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, size, class, comp of the keys whose classes are in several components; equal groups once.
+    In a group of two, the center has met the other already."""
     rows = shared.select("key", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
-    # in a group of two, the center has met the other already; equal groups count once
     groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
     groups = groups.where("size > 2 and c1 <> c2").groupBy("x", "y", "size").agg(F.min("key").alias("key"))
-    rows = rows.join(groups.select("key", "size"), "key").join(light, "class")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), chunks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return rows.join(groups.select("key", "size"), "key")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of rows with equal first three columns; the last column holds bitmaps."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]] + [_maps(b.columns[-1].to_pylist())]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+        for i, j in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
+            part = [c[i:j] for c in cols]
+            if held and any(held[0][k][0] != part[k][0] for k in range(3)):
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            held.append(part)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _proposed(mixed: DataFrame, light: DataFrame, parts: int, turn: int) -> DataFrame:
+    """a, b: for each component the likeliest pair (after the first turn, any) of those its keys' trees give."""
+    salt = F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("size") / CHUNK)).cast("int")
+    rows = mixed.join(light, "class").select("key", salt.alias("chunk"), F.lit(turn).alias("turn"), "class", "comp", "n", "bits")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            kinds = [pa.int64()] * 4 + [pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["a", "b", "ca", "cb", "score"])
+
+        for key, chunk, _, classes, comp, n, maps in _runs(batches):
+            if (comp == comp[0]).all():
+                continue
+            seed = abs(int(key[0])) ^ int(chunk[0]) ^ turn << 32
+            for x, y, score in Tree(n, maps, comp).spanning(seed, turn == 1):
+                x, y = (x, y) if classes[x] < classes[y] else (y, x)
+                out.append((int(classes[x]), int(classes[y]), int(comp[x]), int(comp[y]), score))
+            if len(out) > 10_000:
+                yield made()
+                out.clear()
+        if out:
+            yield made()
+
+    dealt = rows.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "turn", "n", "class")
+    found = dealt.mapInArrow(walk, "a long, b long, ca long, cb long, score double")
+    own = found.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("score", "a", "b").alias("p"))
+    return own.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+
+
+def _tree_pairs(mixed: DataFrame, light: DataFrame, tested: DataFrame, parts: int) -> DataFrame:
+    """a, b: all pairs between components that trees leave and that were not tested. A key's largest
+    component has chunks of its own, which meet those of the others only."""
+    main = mixed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("g")).select("key", F.col("g.m").alias("m"), F.col("g.comp").alias("main"))
+    rows = mixed.join(main, "key").join(light, "class")
+    most, rest = F.ceil(F.col("m") / CHUNK).cast("int"), F.ceil((F.col("size") - F.col("m")) / CHUNK).cast("int")
+    in_main, h = F.col("comp") == F.col("main"), F.xxhash64("class")
+    # chunks of the others are 0 .. rest - 1, those of the largest component come after
+    own = F.when(in_main, rest + F.pmod(h, most)).otherwise(F.pmod(h, rest)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(in_main, rest).otherwise(rest + most) - 1)))
     rows = rows.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "class", "comp", "n", "bits")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key, i, j, n; groups are cut out of the stream."""
-        now, held = None, []
-        for b in batches:
-            cols = [b.column(x).to_pylist() for x in range(8)]
-            for r in zip(*cols):
-                if r[:3] != now:
-                    yield from tried(held)
-                    now, held = r[:3], []
-                held.append(r[3:])
-        yield from tried(held)
-
-    def tried(held: list) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        own = np.array([r[0] for r in held])
-        sides = [np.flatnonzero(own == x) for x in sorted(set(own.tolist()))]
-        classes = np.array([r[1] for r in held], np.int64)
-        trees = []
-        for side in sides:
-            trees.append(Tree(np.array([held[i][3] for i in side], np.int64), _maps([held[i][4] for i in side]), np.array([held[i][2] for i in side], np.int64)))
-        # a chunk's own pairs are made where it stands alone
-        left, right = sides[0], sides[-1]
-        found = ((classes[left[x]], classes[right[y]]) for x, y in trees[0].pairs(trees[-1]))
-        for a, b in found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        left, right, held = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            a, b = np.concatenate(left), np.concatenate(right)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for _, i, j, own, classes, comp, n, maps in _runs(batches):
+            sides = [np.flatnonzero(own == x) for x in sorted({int(i[0]), int(j[0])})]
+            if not all(map(len, sides)) or (comp == comp[0]).all():
+                continue
+            trees = [Tree(n[x], maps[x], comp[x]) for x in sides]
+            for x, y in trees[0].pairs(trees[-1]):
+                left.append(classes[sides[0][x]])
+                right.append(classes[sides[-1][y]])
+                held += len(x)
+                if held > 10_000:
+                    yield made()
+                    left, right, held = [], [], 0
+        if held:
+            yield made()
 
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "class")
-    found = dealt.mapInArrow(walk, "a long, b long").distinct()
-    tested = shared.where("class <> center").select(F.least("class", "center").alias("a"), F.greatest("class", "center").alias("b")).distinct()
-    return found.join(tested, ["a", "b"], "left_anti")
+    return dealt.mapInArrow(walk, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -395,9 +488,19 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     light = _sets_of(docs, rows, shared.select("class").distinct(), False, "candidates")
     star = shared.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
     # a class first meets its lowest center alone; its other centers only where that merged them not
-    first = _verified(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), light, docs, rows, "first")
-    links = first.union(_verified(_apart(star, components(first)), light, docs, rows, "star"))
-    more = _verified(_tree_pairs(shared, components(links), light, parts), light, docs, rows, "tree")
+    tested = staged(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links, turn = _verified(tested, light, docs, rows, "first"), 0
+    while True:
+        roots, turn = components(links), turn + 1
+        likely = staged(_proposed(_mixed(shared, roots), light, parts, turn), "proposed")
+        pairs = likely.union(_apart(star, roots)).distinct() if turn == 1 else likely
+        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _verified(pairs, light, docs, rows, "round")
+        tested, links = tested.union(pairs), links.union(found)
+        if GOING * found.join(likely, ["a", "b"], "left_semi").count() <= likely.count():
+            break
+    roots = components(links)
+    more = _verified(_tree_pairs(_mixed(shared, roots), light, tested, parts), light, docs, rows, "tree")
     roots = components(links.union(more))
     by_class = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     by_class = by_class.withColumn("root", F.coalesce("root", "class"))
