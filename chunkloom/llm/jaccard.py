@@ -47,8 +47,8 @@ from .common import staged
 K, PERCENT = 5, 75
 #: Classes of a key that one tree holds; sets of a leaf and children of a node; 64-bit words of a bitmap.
 CHUNK, LEAF, FANOUT, WORDS = 4096, 16, 8, 32
-#: Merging rounds end when fewer than one of this many pairs tried links; it affects speed only.
-GOING = 5
+#: Merging rounds go on while more than one of this many likely pairs links; it affects speed only.
+GOING = 2
 #: Repeated shingles kept for the order of keys, by count; it affects speed only.
 FREQUENT, LEAST_COUNT = 400_000, 8
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33), np.uint64(0x9E3779B97F4A7C15))
@@ -375,11 +375,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """key, size, class, comp of the keys whose classes are in several components; equal groups once.
-    In a group of two, the center has met the other already."""
+    In a group of two, the center has met the other already. shared: all keys, or what an earlier
+    round left: components only grow, so no key comes back."""
     rows = shared.select("key", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
     groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
     groups = groups.where("size > 2 and c1 <> c2").groupBy("x", "y", "size").agg(F.min("key").alias("key"))
-    return rows.join(groups.select("key", "size"), "key")
+    return staged(rows.join(groups.select("key", "size"), "key"), "mixed")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -489,10 +490,11 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     star = shared.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
     # a class first meets its lowest center alone; its other centers only where that merged them not
     tested = staged(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links, turn = _verified(tested, light, docs, rows, "first"), 0
+    links, turn, mixed = _verified(tested, light, docs, rows, "first"), 0, shared
     while True:
         roots, turn = components(links), turn + 1
-        likely = staged(_proposed(_mixed(shared, roots), light, parts, turn), "proposed")
+        mixed = _mixed(mixed, roots)
+        likely = staged(_proposed(mixed, light, parts, turn), "proposed")
         pairs = likely.union(_apart(star, roots)).distinct() if turn == 1 else likely
         pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = _verified(pairs, light, docs, rows, "round")
@@ -500,7 +502,7 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
         if GOING * found.join(likely, ["a", "b"], "left_semi").count() <= likely.count():
             break
     roots = components(links)
-    more = _verified(_tree_pairs(_mixed(shared, roots), light, tested, parts), light, docs, rows, "tree")
+    more = _verified(_tree_pairs(_mixed(mixed, roots), light, tested, parts), light, docs, rows, "tree")
     roots = components(links.union(more))
     by_class = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     by_class = by_class.withColumn("root", F.coalesce("root", "class"))
