@@ -21,9 +21,22 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 
-RULE_VERSION = "1"
+RULE_VERSION = "1.1"
 _BASE64 = "A-Za-z0-9+/_.=-"
 
+# A private key runs from its BEGIN through the next END of one. Where another BEGIN or END, or the
+# end of the text, comes first, it runs over what looks like a key: header fields, whole lines of
+# base64 characters, and runs of 16 or more of them with the rest that follows the last one.
+# Loops are possessive: Java runs those without recursion, and no text is read twice.
+_KEY_NAME = r"[A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_INNER = r"(?:[^-]|-(?!----(?:BEGIN|END) ))*+"
+_GAP = r"""(?:[\s>#*|"'`,;]|\\+[nrt"']|\+(?=\s))*+"""
+_RUN = "[A-Za-z0-9+/=]"
+_FIELDS = rf"(?:{_GAP}(?:(?:Proc-Type|DEK-Info):\x20?[^\s\\]*+|(?:Version|Comment|Hash|Charset|MessageID):[^\r\n\\]*+))*+"
+_LINES = rf"""(?:{_GAP}{_RUN}{{16,}}+|[\x20\t"'`,;+]*+(?:[\r\n]|\\+[rn]){_GAP}{_RUN}++(?=[\x20\t"'`,;+]*+(?:[\r\n\\]|$)))"""
+_REST = rf"(?:[\x20\t]++{_RUN}++|{_GAP}[A-Za-z]*+[0-9+/=]{_RUN}*+)?+(?:{_GAP}={_RUN}{{4}})?+"
+_PEM = rf"-----BEGIN {_KEY_NAME}(?:{_INNER}-----END {_KEY_NAME}|{_FIELDS}(?:{_LINES}++{_REST})?+)"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,7 +57,7 @@ BASE = [
 ]
 #: Kinds that this operator adds.
 MORE = [
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
+    Rule("pem", _PEM, 0, 1, r"PRIVATE KEY(?: BLOCK)?-----"),
     Rule("hub", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, r"gh[pousr]_"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, "eyJ"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, r"xox[abprs]-"),
