@@ -6,8 +6,8 @@ place is a candidate if the top log2(target) bits are 0; of the candidates the f
 minimum away cuts, else the maximum does. For targets under 512 the minimum is less than the window, so
 what went before a cut matters; there the rule is followed byte by byte.
 
-The table of 256 numbers is a parameter: the format's published one, where compatible cuts are
-wanted, is read from a file by ``load_table``; by default one is made by SplitMix64.
+The table of 256 numbers is the format's published one; another is a parameter, or is read from a
+file by ``load_table``.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .gear_table import PUBLISHED
+
 TARGET, WINDOW = 65_536, 64
 
 
@@ -43,7 +45,7 @@ def load_table(path: str) -> np.ndarray:
 
 def default_table() -> np.ndarray:
     path = os.environ.get("CHUNKLOOM_GEAR_TABLE")
-    return load_table(path) if path else splitmix(0, 256)
+    return load_table(path) if path else np.array(PUBLISHED, np.uint64)
 
 
 def limits(target: int) -> tuple[int, int, int]:

@@ -38,6 +38,11 @@ def test_published_boundaries():
     assert gear.cuts(bytes([59]) * 1_000_000) == [131072 * i for i in range(1, 8)] + [1_000_000]
 
 
+def test_published_table_is_the_default(monkeypatch):
+    monkeypatch.delenv("CHUNKLOOM_GEAR_TABLE", raising=False)
+    assert gear.cuts(stream(1_000_000)) == BOUNDARIES
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(1, 3000), min_size=1, max_size=12), st.sampled_from([128, 512, 1024]))
 def test_blocks_do_not_matter(sizes, target):
