@@ -74,32 +74,10 @@ def write_gif(payload: bytes, delay: int = DELAY) -> bytes:
     return b"".join([*out, b"\x3b"])
 
 
-def _literals(data: bytes, n: int) -> np.ndarray | None:
-    """The n samples of a stream as _pack makes it; None if it is another."""
-    runs = -(-n // RUN)
-    total = n + runs + 1
-    groups = -(-total // 8)
-    if len(data) < -(-9 * total // 8):
-        return None
-    raw = np.frombuffer(data[: 9 * groups] + bytes(max(0, 9 * groups - len(data))), np.uint8).reshape(-1, 9)
-    low = np.ascontiguousarray(raw[:, :8]).view("<u8").ravel()
-    codes = np.empty((groups, 8), np.uint16)
-    for k in range(7):
-        codes[:, k] = low >> np.uint64(9 * k) & np.uint64(0x1FF)
-    codes[:, 7] = (low >> np.uint64(63)).astype(np.uint16) | raw[:, 8].astype(np.uint16) << 1
-    codes = codes.ravel()[:total]
-    if codes[-1] != _END or (codes[: -1 : RUN + 1] != _CLEAR).any():
-        return None
-    body = np.delete(codes[:-1], np.arange(0, total - 1, RUN + 1))
-    return body.astype(np.uint8) if (body < 256).all() else None
-
-
 def decode_lzw(data: bytes, min_size: int, n: int) -> np.ndarray:
     """n samples of a code stream; a stream that ends early leaves the rest 0."""
     if not 1 <= min_size <= 11:
         raise ValueError("code size")
-    if min_size == 8 and (fast := _literals(data, n)) is not None:
-        return fast
     clear, end = 1 << min_size, (1 << min_size) + 1
     first = [bytes([i & 255]) for i in range(clear)] + [b"", b""]
     table, size, last = list(first), min_size + 1, None
@@ -255,6 +233,14 @@ def frames(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, f"doc_id {_kind(media)}, frame int, start_ms long, delay_ms long, width int, height int, rgba binary, histogram array<long>")
 
 
+def digest(m: bytes) -> tuple:
+    """A file's payload, bytes and feature; the histograms are of the composed screens."""
+    got = read_gif(m)
+    back = b"".join(f.samples.tobytes() for f in got)
+    feature = ";".join(f"{f.start_ms}+{f.delay_ms}:{','.join(map(str, histogram(f)))}" for f in got)
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), feature
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
     """The files are a column between two passes over Arrow batches; nothing is shuffled."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -263,11 +249,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
         for b in _small(batches, 256):
             rows = []
             for m in b.column(2):
-                m = m.as_py()
-                got = read_gif(m, screens=False)
-                back = b"".join(f.samples.tobytes() for f in got)
-                feature = ";".join(f"{f.start_ms}+{f.delay_ms}:{','.join(map(str, histogram(f)))}" for f in got)
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+                rows.append(digest(m.as_py()))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names)

@@ -116,6 +116,16 @@ def test_media(spark, odd):
     assert media.frames(media.store(odd)).count() == len(ODD)
 
 
+def test_digest_goes_through_table_and_screen():
+    m = media.write_gif(media.pad(b"a b c"))
+    assert media.digest(m)[5].split(":")[1] == "59,2,0,3,0,0,0,0"
+    # colour 32 transparent: the screen's histogram leaves its pixels out, the payload stays
+    at = m.index(b"\x21\xf9\x04")
+    clear = m[: at + 3] + bytes([2 << 2 | 1]) + m[at + 4 : at + 6] + b"\x20" + m[at + 7 :]
+    assert media.digest(clear)[5].split(":")[1] == "59,0,0,3,0,0,0,0" and media.digest(clear)[:3] == media.digest(m)[:3]
+    assert not hasattr(media, "_literals")
+
+
 def lzw(samples, size):
     """A plain LZW encoder, to hold the decoder against."""
     clear, out, bits, held = 1 << size, bytearray(), 0, 0
