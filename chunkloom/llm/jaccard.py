@@ -3,23 +3,26 @@
 A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets link when
 ``100 * intersection >= 75 * union``. The join goes like this:
 
-1. Sets are hashed; documents of an equal set form a class, and only classes go on.
-2. Each set's shingles are ordered, those that repeat in the corpus last, and the first
-   ``n - ceil(0.75 n) + 1`` are its keys: sets that link share a key, whatever the order.
-   (key, class) pairs travel as packed arrays, dealt by key; keys of one class alone end there.
-3. Of each key that is left, the lowest class is a center; each class is compared with its lowest
-   center first, then with those centers that are in other components still.
-4. Keys whose classes are not all in one component yet get a signature tree each: leaves of a few
-   sets, nodes with OR-combined bitmaps of their tokens and ranges of set size. Dual traversal
-   drops node pairs whose sizes are too far apart, whose greatest possible overlap is too small,
-   or that are in one component already. Keys with equal groups are done once.
-5. Merging rounds come first: a traversal takes each pair that it meets for a link, so a group gives
-   fewer pairs than it has components, and each component tries the likeliest one. Groups of near
-   copies, nearly all of whose pairs link, grow together in a few rounds without their pairs being
-   made. Groups of more than CHUNK classes are dealt in chunks, other ones each round.
-6. When few of a round's pairs link, the trees give all pairs between components that are left, in chunk
-   pairs; none is needed within a group's largest component. They are compared set by set; links
-   give components by star contraction.
+1. Sets are hashed (128 bits); documents of an equal set form a class, and only classes go on.
+2. Each set's shingles are ordered, those that repeat in the corpus last. Sets that link share a key
+   among their first ``n - ceil(0.75 n) + 1`` shingles, the leads, whatever the order; and where the
+   prefix goes on by another tenth of the set, they share that much more of it. So a class that shares
+   fewer keys of its prefix than that with all others together links with none and goes.
+   (key, class) pairs travel as packed arrays, dealt by key; a key that very many documents hold is
+   dealt in parts.
+3. Classes that share a lead form a group; equal groups are done once. A group's classes form signature
+   trees: leaves of a few sets, nodes with OR-combined bitmaps of their tokens and ranges of set
+   size. Dual traversal drops node pairs whose sizes are too far apart, whose greatest possible
+   overlap is too small, or that are in one component already. All pairs that are ever compared
+   come from these traversals.
+4. First each class goes with its set to the largest of its groups alone, where pairs that the
+   traversal leaves are compared as it meets them: near copies grow together there, each after few
+   comparisons. Groups of more than CHUNK classes are dealt in chunks.
+5. Then, of groups whose classes are in several components still, trees of bitmaps propose for each
+   component the likeliest pair, dealt in other chunks each time, while many of these pairs link.
+6. At last the trees give all pairs between components that are left, in chunk pairs; none is needed
+   within a group's largest component. They are compared set by set; links give components by
+   star contraction over the components found before.
 
 Bitmaps bound the overlap from above (bits in common, plus what either set has in excess of
 its bits), so pruning loses no link.
@@ -27,8 +30,8 @@ its bits), so pruning loses no link.
 Defined results: a null text counts as empty; an empty set links with nothing, its component is
 the document's own id; with less than five words the whole sequence is the one shingle; rows of a null
 doc_id get the smallest id that they reach, null if there is none; repeated rows stay; other
-columns are ignored; an empty table gives no rows. Sets are compared by hashes of 48 bits and more, so
-two different shingles of a pair count as one with a chance of 1e-9 at 500 shingles a set.
+columns are ignored, whatever their names; an empty table gives no rows. Sets are compared by hashes of
+48 bits, so two different shingles of a pair count as one with a chance of 1e-9 at 500 shingles a set.
 """
 
 from __future__ import annotations
@@ -38,19 +41,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _kind, _small
 from .common import staged
 
 K, PERCENT = 5, 75
-#: Classes of a key that one tree holds; sets of a leaf and children of a node; 64-bit words of a bitmap.
-CHUNK, LEAF, FANOUT, WORDS = 4096, 16, 8, 32
-#: Merging rounds go on while more than one of this many likely pairs links; it affects speed only.
+#: By how many percent of its set a class's prefix goes on beyond the leads.
+EXTRA = 10
+#: Classes of a group that one tree holds; sets of a leaf and children of a node; 64-bit words of a bitmap.
+CHUNK, LEAF, FANOUT, WORDS = 1024, 16, 8, 32
+#: Proposing goes on while more than one of this many likely pairs links; it affects speed only.
 GOING = 2
 #: Repeated shingles kept for the order of keys, by count; it affects speed only.
-FREQUENT, LEAST_COUNT = 400_000, 8
+FREQUENT, LEAST_COUNT = 400_000, 4
+#: A key of more documents than this is dealt in parts of as many; it affects speed only.
+HOT = 20_000
+#: Keys that a worker holds before it passes them on.
+HELD = 1_000_000
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -73,8 +82,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
-def class_of(s: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64))
+def class_of(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def short_of(c: bytes) -> int:
+    """47 bits of a class, as keys carry it. Classes that have them in common are candidates together."""
+    return int.from_bytes(c[:6]) >> 1
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -150,6 +164,39 @@ class Tree:
             if len(p):
                 yield x[p], y[q]
 
+    def merged(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The component of each row after all pairs that may link were compared, but those whose rows
+        were in one component when their turn came. Pairs within a node come before those across nodes."""
+        comp, todo = self.comp.copy(), [(self.root, self.root)]
+        while todo:
+            i, j = todo.pop()
+            a, b = self.nodes[i], self.nodes[j]
+            if 100 * a[3] < PERCENT * b[2] or 100 * b[3] < PERCENT * a[2]:
+                continue
+            ca, cb = comp[a[0] : a[1]], comp[b[0] : b[1]]
+            if (ca == ca[0]).all() and (cb == ca[0]).all():
+                continue
+            if i != j and int(np.bitwise_count(a[4] & b[4]).sum()) + min(a[5], b[5]) < needed(a[2], b[2]):
+                continue
+            if i == j and a[7]:
+                todo += [(k, m) for n, k in enumerate(a[7]) for m in a[7][n + 1 :]] + [(k, k) for k in a[7]]
+                continue
+            if a[7] or b[7]:
+                todo += [(k, j) for k in a[7]] if a[7] and (not b[7] or a[1] - a[0] >= b[1] - b[0]) else [(i, k) for k in b[7]]
+                continue
+            x, y = np.arange(a[0], a[1]), np.arange(b[0], b[1])
+            n1, n2 = self.n[x][:, None], self.n[y][None, :]
+            score = room(n1, self.maps[x][:, None, :], n2, self.maps[y][None, :, :]) / needed(n1, n2)
+            fits = (score >= 1) & (100 * np.minimum(n1, n2) >= PERCENT * np.maximum(n1, n2)) & (comp[x][:, None] != comp[y])
+            if i == j:
+                fits &= x[:, None] < y
+            p, q = np.nonzero(fits)
+            for k in np.argsort(-score[p, q], kind="stable"):
+                u, v = x[p[k]], y[q[k]]
+                if comp[u] != comp[v] and linked(sets[u], sets[v]):
+                    comp[comp == comp[v]] = comp[u]
+        return comp
+
     def spanning(self, seed: int, best: bool) -> Iterator[tuple[int, int, float]]:
         """Rows that may link and their score, where each pair given is taken for a link: never more
         than there are components less one. best: a leaf pair's likeliest come first, else any."""
@@ -182,12 +229,14 @@ class Tree:
                 comp[comp == comp[y[q]]] = comp[x[p]]
 
 
-def _keys(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _keys(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The prefix in the order of keys, and how many of it are leads."""
     n = len(s)
     at = np.searchsorted(often, s)
     at[at == len(often)] = 0
     seen = np.where(often[at] == s, counts[at], 0) if len(often) else np.zeros(n, np.int64)
-    return s[np.lexsort((s, seen))[: n - -(-PERCENT * n // 100) + 1]]
+    lead = n - -(-PERCENT * n // 100) + 1
+    return s[np.lexsort((s, seen))[: lead + EXTRA * n // 100]], lead
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -202,94 +251,120 @@ def _unpacked(b: bytes) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, row, n, class for each row; shingle, count for what repeats within some stretch)."""
+    """(doc_id, row, n, class, short for each row; shingle, count for what repeats within some stretch)."""
     kind = _kind(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "n", "class", "count"]
+        names = ["doc_id", "row", "n", "class", "short", "count"]
         held, size, k = [], 0, None
 
         def repeated() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held), return_counts=True)
             u, c = u[c > 1].view(np.int64), c[c > 1]
             none = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(u), k), none, none, pa.array(u), pa.array(c, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(u), k), none, none, pa.nulls(len(u), pa.binary()), pa.array(u), pa.array(c, pa.int64())], names)
 
         for b in _small(batches):
             k = b.schema.field(0).type
             sets = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int64())], names)
+            ids = [class_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array([short_of(c) for c in ids], pa.int64()), pa.nulls(len(sets), pa.int64())], names)
             held += sets
             size += sum(map(len, sets))
-            if size > 2_000_000:
+            if size > HELD:
                 yield repeated()
                 held, size = [], 0
         if held:
             yield repeated()
 
-    all_ = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, f"doc_id {kind}, row long, n long, class long, count long"), "shingle-sets")
-    return all_.where("count is null").drop("count"), all_.where("count is not null").select(F.col("class").alias("shingle"), "count")
+    all_ = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, f"doc_id {kind}, row long, n long, class binary, short long, count long"), "shingle-sets")
+    return all_.where("count is null").drop("count"), all_.where("count is not null").select(F.col("short").alias("shingle"), "count")
+
+
+def _parts_of(k: np.ndarray, short: np.ndarray, hot: np.ndarray, parts: np.ndarray, deal: int) -> np.ndarray:
+    """Where keys of 48 bits go: by key, hot ones by key and class."""
+    to = k
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+        to = np.where(hot[at] == k, k + (short % parts[at]) * _MIX[3], k)
+    to = (to ^ (to >> np.uint64(29))) * _MIX[0]
+    return ((to ^ (to >> _MIX[2])) % np.uint64(deal)).astype(np.int64)
 
 
 def _shared_keys(docs: DataFrame, often: np.ndarray, counts: np.ndarray, parts: int) -> DataFrame:
-    """key, class, center for every key of two classes or more; center is the key's lowest class."""
-    shared = docs.sparkSession.sparkContext.broadcast((often, counts))
+    """key, short, lead for every key of two classes or more."""
+    upper = lambda k: k >> np.uint64(16)
+    hot, at = np.unique(upper(often[counts > HOT]), return_index=True)
+    ways = -(-counts[counts > HOT][at] // HOT)
+    shared = docs.sparkSession.sparkContext.broadcast((often, counts, hot, ways.astype(np.uint64)))
     deal = 4 * parts
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, counts = shared.value
-        keys, classes, size = [], [], 0
+        often, counts, hot, ways = shared.value
+        keys, marks, size = [], [], 0
 
         def packed() -> pa.RecordBatch:
-            k, c = np.concatenate(keys) >> np.uint64(16) << np.uint64(16), np.concatenate(classes)
-            to = ((k >> np.uint64(16)) % np.uint64(deal)).astype(np.int64)
-            order = np.lexsort((c, k, to))
-            k, c, to = k[order], c[order], to[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c, to = k[new], c[new], to[new]
+            k, m = np.concatenate(keys), np.concatenate(marks)
+            to = _parts_of(k, m >> np.uint64(1), hot, ways, deal)
+            order = np.lexsort((k, to))
+            k, m, to = k[order] << np.uint64(16), m[order] << np.uint64(16), to[order]
             there, starts = np.unique(to, return_index=True)
             ends = np.append(starts[1:], len(to))
-            return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([_packed(k[i:j]) for i, j in zip(starts, ends)], pa.binary()), pa.array([c[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], ["to", "keys", "classes"])
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([_packed(k[i:j]) for i, j in zip(starts, ends)], pa.binary()), pa.array([_packed(m[i:j]) for i, j in zip(starts, ends)], pa.binary())], ["to", "keys", "marks"])
 
         for b in _small(batches):
             for t in b.column(0).to_pylist():
                 s = shingles(t)
                 if len(s):
-                    own = _keys(s, often, counts)
-                    keys.append(own)
-                    classes.append(np.full(len(own), class_of(s), np.int64))
+                    own, lead = _keys(s, often, counts)
+                    mark = np.full(len(own), short_of(class_of(s)) * 2 + 1, np.uint64)
+                    mark[:lead] -= np.uint64(1)
+                    keys.append(upper(own))
+                    marks.append(mark)
                     size += len(own)
-            if size > 2_000_000:
+            if size > HELD:
                 yield packed()
-                keys, classes, size = [], [], 0
+                keys, marks, size = [], [], 0
         if keys:
             yield packed()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, cs = [], []
+        ks, ms = [], []
         for b in batches:
-            ks += [_unpacked(x.as_py()) for x in b.column(1)]
-            cs += [np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]
+            ks += [upper(_unpacked(x.as_py())) for x in b.column(1)]
+            ms += [upper(_unpacked(x.as_py())) for x in b.column(2)]
         if not ks:
             return
-        k, c = np.concatenate(ks), np.concatenate(cs)
-        del ks, cs
-        order = np.lexsort((c, k))
-        k, c = k[order], c[order]
+        k, m = np.concatenate(ks), np.concatenate(ms)
+        del ks, ms
+        order = np.lexsort((m, k))
+        k, m = k[order], m[order]
+        c = m >> np.uint64(1)
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        k, c = k[new], c[new]
+        k, c, lead = k[new], c[new], (m[new] & np.uint64(1)) == 0
         starts = np.flatnonzero(np.append([True], k[1:] != k[:-1]))
         sizes = np.diff(np.append(starts, len(k)))
-        many = np.repeat(sizes > 1, sizes)
-        center = np.repeat(c[starts], sizes)[many]
-        k, c = k[many].view(np.int64), c[many]
-        for at in range(0, len(k), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (k, c, center)], ["key", "class", "center"])
+        # of a hot key there may be one class here and more elsewhere
+        many = np.repeat((sizes > 1) | np.isin(k[starts], shared.value[2]), sizes)
+        cols = k[many].view(np.int64), c[many].view(np.int64), lead[many]
+        for at in range(0, len(cols[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in cols], ["key", "short", "lead"])
 
-    blobs = docs.select("text").mapInArrow(emit, "to long, keys binary, classes binary")
-    return staged(blobs.repartition(parts, "to").mapInArrow(gather, "key long, class long, center long"), "shared-keys")
+    blobs = docs.select("text").mapInArrow(emit, "to long, keys binary, marks binary")
+    return staged(blobs.repartition(parts, "to").mapInArrow(gather, "key long, short long, lead boolean"), "shared-keys")
+
+
+def _groups(shared: DataFrame, rows: DataFrame) -> DataFrame:
+    """key, size, short: classes that share a lead, of those that share enough to link; equal groups once.
+    What two linked classes share of their prefixes is one and a tenth of the smaller set at least."""
+    n = rows.where("n > 0").groupBy("short").agg(F.min("n").alias("n"))
+    enough = F.col("count") >= 1 + F.floor(F.col("n") * PERCENT * EXTRA / 10_000)
+    able = shared.groupBy("short").count().join(n, "short").where(enough).select("short")
+    lead = staged(shared.where("lead").join(able, "short", "left_semi").select("key", "short"), "leads")
+    by_key = lead.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("short")).alias("x"), F.bit_xor(F.xxhash64("short", F.lit(1))).alias("y"))
+    once = by_key.where("size > 1").groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", "size")
+    return staged(lead.join(once, "key"), "groups")
 
 
 def _bloom(ids: DataFrame, c: str, words: int = 1 << 18) -> np.ndarray:
@@ -302,12 +377,12 @@ def _bloom(ids: DataFrame, c: str, words: int = 1 << 18) -> np.ndarray:
     return out
 
 
-def _sets_of(docs: DataFrame, rows: DataFrame, classes: DataFrame, tokens: bool, name: str) -> DataFrame:
-    """class, n and bits, or with tokens class, tokens: the set of each of classes, made again from one of
-    its documents. Sets are read for what is left to compare only: they don't compress."""
-    reps = rows.join(classes, "class").groupBy("class").agg(F.min("row").alias("row"))
+def _sets_of(docs: DataFrame, rows: DataFrame, shorts: DataFrame) -> DataFrame:
+    """class, short, n, bits, tokens of the candidates: their sets, made again from one document of each."""
+    reps = rows.where("n > 0").join(shorts, "short", "left_semi").groupBy("class").agg(F.min("row").alias("row"))
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(reps, "row"))
     words = len(bits.value)
+    names = ["class", "short", "n", "bits", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -315,44 +390,30 @@ def _sets_of(docs: DataFrame, rows: DataFrame, classes: DataFrame, tokens: bool,
             h = b.column(1).to_numpy(zero_copy_only=False)
             ok = table[np.mod(h, words)] >> np.mod(h >> 32, 64) & 1
             sets = [s for s in (shingles(t) for t in b.column(0).filter(pa.array(ok.astype(bool))).to_pylist()) if len(s)]
-            ids = pa.array([class_of(s) for s in sets], pa.int64())
-            if tokens:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([_packed(s) for s in sets], pa.binary())], ["class", "tokens"])
-            else:
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], ["class", "n", "bits"])
-
-    kinds = "tokens binary" if tokens else "n long, bits binary"
-    found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(run, f"class long, {kinds}")
+            ids = [class_of(s) for s in sets]
+            cols = [short_of(c) for c in ids], [len(s) for s in sets], [bitmap(s).tobytes() for s in sets], [_packed(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, *cols), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
+
+    found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(run, "class binary, short long, n long, bits binary, tokens binary")
     # texts that differ in case or spacing may share a set: one row a class
-    return staged(found.join(classes, "class", "left_semi").dropDuplicates(["class"]), name)
+    return staged(found.join(shorts, "short", "left_semi").dropDuplicates(["class"]), "candidates")
 
 
 def _maps(bits: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, WORDS)
 
 
-def _verified(pairs: DataFrame, light: DataFrame, docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """a, b of the pairs that link: first by size and bitmap, then by the sets."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _small(batches, 4096):
-            n1, n2 = b.column(2).to_numpy(), b.column(4).to_numpy()
-            ok = may_link(n1, _maps(b.column(3).to_pylist()), n2, _maps(b.column(5).to_pylist()))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """a, b of the pairs that link."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _small(batches, 1024):
+        for b in _small(batches, 256):
             ok = [linked(_unpacked(x), _unpacked(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    def both(p: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
-        one = lambda c, k: sets.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}{k}") for x in cols])
-        return p.join(one("a", 1), "a").join(one("b", 2), "b").select("a", "b", *[f"{x}{k}" for k in (1, 2) for x in cols])
-
-    left = staged(both(pairs, light, "n", "bits").mapInArrow(bound, "a long, b long"), f"{name}-bound")
-    there = left.select(F.col("a").alias("class")).union(left.select("b")).distinct()
-    sets = _sets_of(docs, rows, there, True, f"{name}-sets")
-    return staged(both(left, sets, "tokens").mapInArrow(exact, "a long, b long"), f"{name}-links")
+    one = lambda c: sets.select(F.col("class").alias(c), F.col("tokens").alias(f"t{c}"))
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ta", "tb")
+    return staged(both.mapInArrow(exact, "a binary, b binary"), f"{name}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -373,108 +434,146 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, size, class, comp of the keys whose classes are in several components; equal groups once.
-    In a group of two, the center has met the other already. shared: all keys, or what an earlier
-    round left: components only grow, so no key comes back."""
-    rows = shared.select("key", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
-    groups = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
-    groups = groups.where("size > 2 and c1 <> c2").groupBy("x", "y", "size").agg(F.min("key").alias("key"))
-    return staged(rows.join(groups.select("key", "size"), "key"), "mixed")
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after links joined the components that roots has."""
+    e = links
+    for c in ("a", "b"):
+        e = e.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
+    more = components(e)
+    old = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return staged(old.union(more), "roots")
+
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, size, class, comp of the groups whose classes are in several components. members: all
+    groups, or what an earlier round left: components only grow, so no group comes back."""
+    rows = members.select("key", "size", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
+    several = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+    return staged(rows.join(several, "key", "left_semi"), "mixed")
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of each run of rows with equal first three columns; the last column holds bitmaps."""
-    held: list[list[np.ndarray]] = []
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows whose first columns, as many as keys, are equal."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]] + [_maps(b.columns[-1].to_pylist())]
-        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:keys]]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
         for i, j in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
-            part = [c[i:j] for c in cols]
-            if held and any(held[0][k][0] != part[k][0] for k in range(3)):
-                yield [np.concatenate(x) for x in zip(*held)]
+            part = b.slice(i, j - i)
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in range(keys)):
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(part)
     if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(t: pa.Table, c: str) -> np.ndarray:
+    return t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _tree(t: pa.Table) -> Tree:
+    """Of columns n, bits and comp; without comp each row is a component."""
+    comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64) if "comp" in t.column_names else np.arange(len(t))
+    return Tree(_numbers(t, "n"), _maps(t.column("bits").to_pylist()), comp)
+
+
+def _first(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """node, root: what the trees of each class's largest group join."""
+    own = groups.groupBy("short").agg(F.max(F.struct("size", "key")).alias("g")).select("short", "g.key", "g.size")
+    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / CHUNK)).cast("int")
+    rows = own.join(sets, "short").select("key", chunk.alias("chunk"), "class", "n", "bits", "tokens")
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, 2):
+            if len(t) < 2:
+                continue
+            comp = _tree(t).merged([_unpacked(x) for x in t.column("tokens").to_pylist()])
+            classes, root = t.column("class").to_pylist(), {}
+            for c, k in zip(classes, comp.tolist()):
+                root[k] = min(root.get(k, c), c)
+            out = [(c, root[k]) for c, k in zip(classes, comp.tolist()) if c != root[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["node", "root"])
+
+    dealt = rows.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "class")
+    return staged(dealt.mapInArrow(walk, "node binary, root binary"), "roots")
 
-def _proposed(mixed: DataFrame, light: DataFrame, parts: int, turn: int) -> DataFrame:
-    """a, b: for each component the likeliest pair (after the first turn, any) of those its keys' trees give."""
+
+def _proposed(mixed: DataFrame, sets: DataFrame, parts: int, turn: int) -> DataFrame:
+    """a, b: for each component the likeliest pair (after the first turn, any) of those its groups' trees give."""
     salt = F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("size") / CHUNK)).cast("int")
-    rows = mixed.join(light, "class").select("key", salt.alias("chunk"), F.lit(turn).alias("turn"), "class", "comp", "n", "bits")
+    rows = mixed.join(sets.select("class", "n", "bits"), "class").select("key", salt.alias("chunk"), "class", "comp", "n", "bits")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def made() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 4 + [pa.float64()]
+            kinds = [pa.binary()] * 4 + [pa.float64()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["a", "b", "ca", "cb", "score"])
 
-        for key, chunk, _, classes, comp, n, maps in _runs(batches):
-            if (comp == comp[0]).all():
+        for t in _runs(batches, 2):
+            tree = _tree(t)
+            if (tree.comp == tree.comp[0]).all():
                 continue
-            seed = abs(int(key[0])) ^ int(chunk[0]) ^ turn << 32
-            for x, y, score in Tree(n, maps, comp).spanning(seed, turn == 1):
+            classes, comp = t.column("class").to_pylist(), t.column("comp").to_pylist()
+            seed = abs(t.column("key")[0].as_py()) ^ t.column("chunk")[0].as_py() ^ turn << 32
+            for x, y, score in tree.spanning(seed, turn == 1):
                 x, y = (x, y) if classes[x] < classes[y] else (y, x)
-                out.append((int(classes[x]), int(classes[y]), int(comp[x]), int(comp[y]), score))
+                out.append((classes[x], classes[y], comp[x], comp[y], score))
             if len(out) > 10_000:
                 yield made()
                 out.clear()
         if out:
             yield made()
 
-    dealt = rows.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "turn", "n", "class")
-    found = dealt.mapInArrow(walk, "a long, b long, ca long, cb long, score double")
+    dealt = rows.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "class")
+    found = dealt.mapInArrow(walk, "a binary, b binary, ca binary, cb binary, score double")
     own = found.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("score", "a", "b").alias("p"))
     return own.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
-def _tree_pairs(mixed: DataFrame, light: DataFrame, tested: DataFrame, parts: int) -> DataFrame:
-    """a, b: all pairs between components that trees leave and that were not tested. A key's largest
+def _tree_pairs(mixed: DataFrame, sets: DataFrame, tested: DataFrame, parts: int) -> DataFrame:
+    """a, b: all pairs between components that trees leave and that were not tested. A group's largest
     component has chunks of its own, which meet those of the others only."""
-    main = mixed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("g")).select("key", F.col("g.m").alias("m"), F.col("g.comp").alias("main"))
-    rows = mixed.join(main, "key").join(light, "class")
-    most, rest = F.ceil(F.col("m") / CHUNK).cast("int"), F.ceil((F.col("size") - F.col("m")) / CHUNK).cast("int")
+    counts = mixed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("g"), F.sum("m").alias("all"))
+    rows = mixed.join(counts.select("key", "all", F.col("g.m").alias("m"), F.col("g.comp").alias("main")), "key")
+    most, rest = F.ceil(F.col("m") / CHUNK).cast("int"), F.ceil((F.col("all") - F.col("m")) / CHUNK).cast("int")
     in_main, h = F.col("comp") == F.col("main"), F.xxhash64("class")
     # chunks of the others are 0 .. rest - 1, those of the largest component come after
     own = F.when(in_main, rest + F.pmod(h, most)).otherwise(F.pmod(h, rest)).cast("int")
-    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(in_main, rest).otherwise(rest + most) - 1)))
+    rows = rows.withColumns({"own": own, "upto": F.when(in_main, rest).otherwise(rest + most)}).select("key", "own", "upto", "class", "comp")
+    # bitmaps come in before rows are copied to the chunk pairs, and the join is on classes, which are even
+    rows = rows.join(sets.select("class", "n", "bits"), "class").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)))
     rows = rows.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "class", "comp", "n", "bits")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, held = [], [], 0
+        out, number = [], {}
 
         def made() -> pa.RecordBatch:
-            a, b = np.concatenate(left), np.concatenate(right)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-        for _, i, j, own, classes, comp, n, maps in _runs(batches):
-            sides = [np.flatnonzero(own == x) for x in sorted({int(i[0]), int(j[0])})]
-            if not all(map(len, sides)) or (comp == comp[0]).all():
+        for t in _runs(batches, 3):
+            own, i, j = _numbers(t, "own"), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            sides = [t.filter(pa.array(own == x)) for x in sorted({i, j})]
+            if not all(map(len, sides)):
+                continue
+            number = {c: k for k, c in enumerate(set(t.column("comp").to_pylist()))}
+            if len(number) == 1:
                 continue
-            trees = [Tree(n[x], maps[x], comp[x]) for x in sides]
+            trees = [Tree(_numbers(x, "n"), _maps(x.column("bits").to_pylist()), np.array([number[c] for c in x.column("comp").to_pylist()])) for x in sides]
+            left, right = (x.column("class").to_pylist() for x in (sides[0], sides[-1]))
             for x, y in trees[0].pairs(trees[-1]):
-                left.append(classes[sides[0][x]])
-                right.append(classes[sides[-1][y]])
-                held += len(x)
-                if held > 10_000:
+                out += [(min(left[p], right[q]), max(left[p], right[q])) for p, q in zip(x, y)]
+                if len(out) > 10_000:
                     yield made()
-                    left, right, held = [], [], 0
-        if held:
+                    out = []
+        if out:
             yield made()
 
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "class")
-    return dealt.mapInArrow(walk, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b of the pairs whose classes are in different components."""
-    for c in ("a", "b"):
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return staged(dealt.mapInArrow(walk, "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
 def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
@@ -485,25 +584,25 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     top = repeats.groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
     often, counts = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(often)
-    shared = _shared_keys(docs, often[order], counts[order], parts)
-    light = _sets_of(docs, rows, shared.select("class").distinct(), False, "candidates")
-    star = shared.where("class <> center").select(F.col("center").alias("a"), F.col("class").alias("b")).distinct()
-    # a class first meets its lowest center alone; its other centers only where that merged them not
-    tested = staged(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links, turn, mixed = _verified(tested, light, docs, rows, "first"), 0, shared
+    groups = _groups(_shared_keys(docs, often[order], counts[order], parts), rows)
+    sets = _sets_of(docs, rows, groups.select("short").distinct())
+    roots, turn = _first(groups, sets, parts), 0
+    mixed = groups.join(sets.select("short", "class"), "short")
+    tested = None
     while True:
-        roots, turn = components(links), turn + 1
+        turn += 1
         mixed = _mixed(mixed, roots)
-        likely = staged(_proposed(mixed, light, parts, turn), "proposed")
-        pairs = likely.union(_apart(star, roots)).distinct() if turn == 1 else likely
-        pairs = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _verified(pairs, light, docs, rows, "round")
-        tested, links = tested.union(pairs), links.union(found)
-        if GOING * found.join(likely, ["a", "b"], "left_semi").count() <= likely.count():
+        likely = _proposed(mixed, sets, parts, turn)
+        likely = staged(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "proposed")
+        tested = likely if tested is None else tested.union(likely)
+        found = _verified(likely, sets, "round")
+        new = found.count()
+        if new:
+            roots = _grown(roots, found)
+        if GOING * new <= likely.count():
             break
-    roots = components(links)
-    more = _verified(_tree_pairs(_mixed(mixed, roots), light, tested, parts), light, docs, rows, "tree")
-    roots = components(links.union(more))
+    more = _verified(_tree_pairs(_mixed(mixed, roots), sets, tested, parts), sets, "tree")
+    roots = _grown(roots, more)
     by_class = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     by_class = by_class.withColumn("root", F.coalesce("root", "class"))
     ids = by_class.join(by_class.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
@@ -513,13 +612,18 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the smallest id, then the smallest hash of the text;
-    of rows that are alike one. Documents of an empty set all stay but for alike rows."""
+    """docs with one document of each component: the smallest id, then the smallest hash of the text; of
+    rows alike in both the one whose other columns have the smallest digest. Documents of an empty set all
+    stay but for rows alike in id and text."""
     found = near_duplicates(docs, with_row=True)
     part = lambda alone, i, k: F.struct(F.lit(alone).alias("alone"), i.alias("i"), k.alias("k"))
-    group = F.when(F.col("n_shingles") == 0, part(True, F.col("doc_id"), F.col("row"))).otherwise(part(False, F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("class"))))
+    own, none = F.col("row").cast("string").cast("binary"), F.col("component_id").isNull()
+    group = F.when(F.col("n_shingles") == 0, part(True, F.col("doc_id"), own)).otherwise(part(False, F.col("component_id"), F.when(none, F.col("class"))))
     best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("b")).select(F.col("b.doc_id").alias("i"), F.col("b.row").alias("r"))
-    cols = docs.columns
-    d = docs.withColumn("_row", F.xxhash64("text"))
-    kept = d.join(best, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("_row") == F.col("r")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row"]).select(*cols)
+    # docs' columns stand in one struct, so no name of theirs meets ours
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).withColumns({"id": F.col("d.doc_id"), "row": F.xxhash64("d.text")})
+    kept = d.join(best, F.col("id").eqNullSafe(F.col("i")) & F.col("row").eqNullSafe(F.col("r")), "left_semi")
+    others = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.md5(F.to_json(F.struct(*others)).cast("binary")) if others else F.lit("")
+    nth = F.row_number().over(Window.partitionBy("id", "row").orderBy(tie))
+    return kept.withColumn("nth", nth).where("nth = 1").select("d.*")

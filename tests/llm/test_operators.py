@@ -234,6 +234,8 @@ def test_jaccard(spark, odd, monkeypatch):
 
 def test_chunked_trees(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 3)
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    monkeypatch.setattr(jaccard, "HELD", 300)
     got = sorted(repr(tuple(r)) for r in jaccard.near_duplicates(docs_of(spark, families(8))).collect())
     assert got == brute(families(8))
 
@@ -258,6 +260,40 @@ def test_components(spark):
         root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(root) if find(x) != x}
+    # two steps give what one gives
+    some = lambda e: spark.createDataFrame(e, "a long, b long")
+    grown = jaccard._grown(jaccard.components(some(edges[:70])), some(edges[70:])).collect()
+    assert sorted(map(tuple, grown)) == sorted(got.items())
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=40), min_size=2, max_size=40))
+def test_tree_merges_what_links(sets):
+    sets = [np.array(sorted(hash((x, 1)) & 0xFFFFFFFFFFFFFFFF for x in s), np.uint64) for s in sets]
+    sets = sorted((np.unique(s) for s in sets), key=len)
+    t = jaccard.Tree(np.array([len(s) for s in sets], np.int64), np.stack([jaccard.bitmap(s) for s in sets]), np.arange(len(sets)))
+    comp = t.merged(sets)
+    want = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if jaccard.linked(sets[a], sets[b]):
+                want = [want[a] if w == want[b] else w for w in want]
+    same = lambda c: [[x == y for y in c] for x in c]
+    assert same(comp.tolist()) == same(want)
+
+
+def test_prefixes_of_linked_sets_share_enough():
+    r = random.Random(6)
+    for _ in range(300):
+        n = r.randrange(1, 300)
+        a = set(r.sample(range(10**6), n))
+        b = set(r.sample(sorted(a), n - r.randrange(0, max(1, n // 5)))) | set(r.sample(range(10**6), r.randrange(0, n // 6 + 1)))
+        a, b = (np.array(sorted(x), np.uint64) for x in (a, b))
+        if jaccard.linked(a, b):
+            often = np.array(sorted(r.sample(sorted(set(a.tolist()) | set(b.tolist())), min(len(a), 20))), np.uint64)
+            (x, i), (y, j) = (jaccard._keys(s, often, np.arange(4, 4 + len(often))) for s in (a, b))
+            least = lambda s: 1 + len(s) * jaccard.PERCENT * jaccard.EXTRA // 10_000
+            assert len(np.intersect1d(x, y)) >= max(least(a), least(b)) and len(np.intersect1d(x[:i], y[:j])) >= 1
 
 
 def test_fingerprints(spark, odd):
@@ -413,14 +449,14 @@ def test_toxicity(spark, odd):
     assert toxicity.held_out_scores(odd.limit(0), l).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
     sf, docs = "/root/testdata/sf0.001", spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for name, stage in C.STAGES:
         out = stage(spark, docs, sf)
         assert out.columns[:5] == docs.columns and (name == "byte_bpe" or len(out.columns) == 5)
-        out.write.mode("overwrite").parquet(path := f"/tmp/chunkloom-test-{name}")
+        out.write.mode("overwrite").parquet(path := str(tmp_path / name))
         docs = spark.read.parquet(path)
     assert docs.count() > 0
 
