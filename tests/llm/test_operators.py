@@ -160,11 +160,90 @@ def lzw(samples, size):
     return bytes(out) + bytes([bits & 255])
 
 
-@pytest.mark.parametrize("size, n", [(2, 3000), (8, 40_000), (4, 1)])
+def plain_lzw(data, size):
+    """A plain decoder, code by code, to hold the encoder against."""
+    bits, clear, at, out = int.from_bytes(data, "little"), 1 << size, 0, []
+    while True:
+        width, table, last = size + 1, {i: [i] for i in range(clear)}, None
+        while True:
+            code = bits >> at & (1 << width) - 1
+            at += width
+            if code in (clear, clear + 1):
+                break
+            word = table[code] if code in table else last + last[:1]
+            if last and len(table) + 2 < 4096:
+                table[len(table) + 2] = last + word[:1]
+                if len(table) + 2 == 1 << width and width < 12:
+                    width += 1
+            out += word
+            last = word
+        if code == clear + 1:
+            return out
+
+
+@pytest.mark.parametrize("size, n", [(2, 3000), (8, 40_000), (4, 1), (8, 0), (3, 60_000)])
 def test_lzw(size, n):
     r = random.Random(size)
-    samples = [min((1 << size) - 1, int(r.expovariate(0.4))) for _ in range(n)]
-    assert media.decode_lzw(lzw(samples, size), size, n).tolist() == samples
+    for samples in ([min((1 << size) - 1, int(r.expovariate(0.4))) for _ in range(n)], [r.randrange(1 << size) for _ in range(n // 4)], [1] * n):
+        assert media.decode_lzw(lzw(samples, size), size, len(samples)).tolist() == samples
+        own = media.encode_lzw(bytes(samples), size)
+        assert media.decode_lzw(own, size, len(samples)).tolist() == samples and plain_lzw(own, size) == samples
+    # a table that stays full: no clear code comes, and codes keep their width
+    assert media.decode_lzw(lzw([0, 1], 2)[:1], 2, 4).tolist()[2:] == [0, 0]
+
+
+def test_lzw_without_clear_codes():
+    r, size = random.Random(1), 4
+    samples = [r.randrange(16) for _ in range(30_000)]
+    table, width, bits, at, word, codes = {(i,): i for i in range(16)}, size + 1, 16, size + 1, (), 1
+    for s in [*samples, None]:
+        if s is not None and (*word, s) in table:
+            word = (*word, s)
+            continue
+        bits |= table[word] << at
+        at, codes = at + width, codes + 1
+        if len(table) + 2 < 4096:
+            table[(*word, s)] = len(table) + 2
+            if len(table) + 1 == 1 << width and width < 12:
+                width += 1
+        word = (s,)
+    bits |= 17 << at
+    data = bits.to_bytes((at + width + 7) // 8, "little")
+    assert media.decode_lzw(data, size, len(samples)).tolist() == samples
+    with pytest.raises(ValueError):
+        media.decode_lzw(bytes([0b11110000, 255, 255]), 2, 9)
+
+
+def test_media_against_a_plain_reader(spark, odd):
+    import struct
+
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.store(odd).collect()}
+    for r in media.media_digests(odd).collect():
+        m, back, said, at, now = files[r["doc_id"]], [], [], 13 + 768, 0
+        while m[at] == 0x21:
+            delay = 10 * struct.unpack("<H", m[at + 4 : at + 6])[0]
+            n = struct.unpack("<HH", m[at + 13 : at + 17])
+            assert m[at + 8] == 0x2C and n[0] == 64 and m[at + 18] == 8
+            at, data = at + 19, b""
+            while m[at]:
+                data += m[at + 1 : at + 1 + m[at]]
+                at += 1 + m[at]
+            at += 1
+            frame = plain_lzw(data, 8)
+            counts = [sum(32 * k <= v < 32 * k + 32 for v in frame) for k in range(8)]
+            # rows of the screen below a short last frame are clear
+            said.append(f"{now}+{delay}:{','.join(map(str, counts))}")
+            now, back = now + delay, back + frame
+        raw = next((t or "") for i, t in ODD if i == r["doc_id"]).encode()
+        assert m[at] == 0x3B and bytes(back) == media.pad(raw)
+        assert (r["payload_bytes"], r["media_bytes"], r["media_sha256"], r["feature"]) == (len(back), len(m), hashlib.sha256(m).hexdigest(), ";".join(said))
+
+
+def test_long_media_takes_several_frames(spark):
+    raw = media.pad(("0123456789abcdef" * 70_000).encode())
+    got = media.read_gif(media.write_gif(raw))
+    assert [f.start_ms for f in got] == [0, 40] and b"".join(f.samples.tobytes() for f in got) == raw
+    assert sum(media.histogram(got[1])) == got[1].samples.size
 
 
 def test_gif_rules():
