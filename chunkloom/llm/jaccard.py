@@ -17,9 +17,9 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Two sets l
    come from these traversals.
 4. First each class goes with its set to the largest of its groups alone, where pairs that the
    traversal leaves are compared as it meets them: near copies grow together there, each after few
-   comparisons. Groups of more than CHUNK classes are dealt in chunks.
+   comparisons. Groups of more than CHUNK classes are dealt in chunks, and once more in others.
 5. Then, of groups whose classes are in several components still, trees of bitmaps propose for each
-   component the likeliest pair, dealt in other chunks each time, while many of these pairs link.
+   component the likeliest pair, dealt in other chunks each time, while any of these pairs links.
 6. At last the trees give all pairs between components that are left, in chunk pairs; none is needed
    within a group's largest component. They are compared set by set; links give components by
    star contraction over the components found before.
@@ -52,8 +52,8 @@ K, PERCENT = 5, 75
 EXTRA = 10
 #: Classes of a group that one tree holds; sets of a leaf and children of a node; 64-bit words of a bitmap.
 CHUNK, LEAF, FANOUT, WORDS = 1024, 16, 8, 32
-#: Proposing goes on while more than one of this many likely pairs links; it affects speed only.
-GOING = 2
+#: Proposing goes on while a round's likely pairs link, for so many rounds at most; it affects speed only.
+TURNS = 12
 #: Repeated shingles kept for the order of keys, by count; it affects speed only.
 FREQUENT, LEAST_COUNT = 400_000, 4
 #: A key of more documents than this is dealt in parts of as many; it affects speed only.
@@ -475,34 +475,35 @@ def _numbers(t: pa.Table, c: str) -> np.ndarray:
 
 
 def _tree(t: pa.Table) -> Tree:
-    """Of columns n, bits and comp; without comp each row is a component."""
-    comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64) if "comp" in t.column_names else np.arange(len(t))
+    """Of columns n, bits and comp."""
+    comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
     return Tree(_numbers(t, "n"), _maps(t.column("bits").to_pylist()), comp)
 
 
-def _first(groups: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """node, root: what the trees of each class's largest group join."""
-    own = groups.groupBy("short").agg(F.max(F.struct("size", "key")).alias("g")).select("short", "g.key", "g.size")
-    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / CHUNK)).cast("int")
-    rows = own.join(sets, "short").select("key", chunk.alias("chunk"), "class", "n", "bits", "tokens")
+def _joined(members: DataFrame, sets: DataFrame, parts: int, turn: int) -> DataFrame:
+    """a, b: components that the trees of each class's largest group join, b the lowest of those joined.
+    members: key, size, class, comp."""
+    own = members.groupBy("class", "comp").agg(F.max(F.struct("size", "key")).alias("g")).select("class", "comp", "g.key", "g.size")
+    chunk = F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("size") / CHUNK)).cast("int")
+    rows = own.join(sets, "class").select("key", chunk.alias("chunk"), "comp", "n", "bits", "tokens")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 2):
-            if len(t) < 2:
+            tree, comps, low = _tree(t), t.column("comp").to_pylist(), {}
+            if (tree.comp == tree.comp[0]).all():
                 continue
-            comp = _tree(t).merged([_unpacked(x) for x in t.column("tokens").to_pylist()])
-            classes, root = t.column("class").to_pylist(), {}
-            for c, k in zip(classes, comp.tolist()):
-                root[k] = min(root.get(k, c), c)
-            out = [(c, root[k]) for c, k in zip(classes, comp.tolist()) if c != root[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["node", "root"])
+            now = tree.merged([_unpacked(x) for x in t.column("tokens").to_pylist()]).tolist()
+            for c, k in zip(comps, now):
+                low[k] = min(low.get(k, c), c)
+            out = sorted({(c, low[k]) for c, k in zip(comps, now) if c != low[k]})
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
-    dealt = rows.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "class")
-    return staged(dealt.mapInArrow(walk, "node binary, root binary"), "roots")
+    dealt = rows.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "comp")
+    return staged(dealt.mapInArrow(walk, "a binary, b binary"), "joined")
 
 
 def _proposed(mixed: DataFrame, sets: DataFrame, parts: int, turn: int) -> DataFrame:
-    """a, b: for each component the likeliest pair (after the first turn, any) of those its groups' trees give."""
+    """a, b: for each component the likeliest pair (in even turns, any) of those its groups' trees give."""
     salt = F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("size") / CHUNK)).cast("int")
     rows = mixed.join(sets.select("class", "n", "bits"), "class").select("key", salt.alias("chunk"), "class", "comp", "n", "bits")
 
@@ -519,7 +520,7 @@ def _proposed(mixed: DataFrame, sets: DataFrame, parts: int, turn: int) -> DataF
                 continue
             classes, comp = t.column("class").to_pylist(), t.column("comp").to_pylist()
             seed = abs(t.column("key")[0].as_py()) ^ t.column("chunk")[0].as_py() ^ turn << 32
-            for x, y, score in tree.spanning(seed, turn == 1):
+            for x, y, score in tree.spanning(seed, turn % 2 == 1):
                 x, y = (x, y) if classes[x] < classes[y] else (y, x)
                 out.append((classes[x], classes[y], comp[x], comp[y], score))
             if len(out) > 10_000:
@@ -586,9 +587,12 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     order = np.argsort(often)
     groups = _groups(_shared_keys(docs, often[order], counts[order], parts), rows)
     sets = _sets_of(docs, rows, groups.select("short").distinct())
-    roots, turn = _first(groups, sets, parts), 0
-    mixed = groups.join(sets.select("short", "class"), "short")
-    tested = None
+    members = staged(groups.join(sets.select("short", "class"), "short").select("key", "size", "class"), "members")
+    # each class is in one chunk, so what is joined are stars
+    roots = _joined(members.withColumn("comp", F.col("class")), sets, parts, 0).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    mixed, turn, tested = _mixed(members, roots), 0, None
+    # chunks of a large group have grown apart; dealt anew, what has grown meets
+    roots = _grown(roots, _joined(mixed.where(F.col("size") > CHUNK), sets, parts, 1))
     while True:
         turn += 1
         mixed = _mixed(mixed, roots)
@@ -599,7 +603,7 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
         new = found.count()
         if new:
             roots = _grown(roots, found)
-        if GOING * new <= likely.count():
+        if not new or turn == TURNS:
             break
     more = _verified(_tree_pairs(_mixed(mixed, roots), sets, tested, parts), sets, "tree")
     roots = _grown(roots, more)
