@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
+from .common import kind_of as _kind
+from .common import small as _small
+
 #: Pieces in a generation of a worker's cache (some 200 bytes each).
 CACHE = 400_000
 
@@ -237,17 +240,6 @@ def encode(docs: DataFrame, codec: Codec, offsets: bool = False) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(docs)}, ids array<int>{more}")
 
 
-def _kind(df: DataFrame, c: str = "doc_id") -> str:
-    return df.schema[c].dataType.simpleString()
-
-
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of few rows, so that what Python holds of a batch stays small."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def round_trip_digests(docs: DataFrame, codec: Codec) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ids and decoded bytes are made and digested in
     one pass, batch by batch, without a shuffle."""

@@ -6,8 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +41,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/chunkloom-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Arrow batches of few rows for what runs within, so that those in flight between the JVM and
+    Python, which lie outside the heap, stay small where texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, and a lost executor
     costs no more than the tasks that it had."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kind_of(df: DataFrame, c: str = "doc_id") -> str:
+    return df.schema[c].dataType.simpleString()
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, so that what Python holds of a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

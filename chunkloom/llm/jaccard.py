@@ -44,7 +44,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _kind, _small
+from .common import kind_of as _kind
+from .common import small as _small
 from .common import staged
 
 K, PERCENT = 5, 75
@@ -58,8 +59,8 @@ TURNS = 12
 FREQUENT, LEAST_COUNT = 400_000, 4
 #: A key of more documents than this is dealt in parts of as many; it affects speed only.
 HOT = 20_000
-#: Keys that a worker holds before it passes them on.
-HELD = 1_000_000
+#: Shingles that a worker counts together, and keys that it holds before it passes them on.
+HELD, PASSED = 1_000_000, 300_000
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -322,7 +323,7 @@ def _shared_keys(docs: DataFrame, often: np.ndarray, counts: np.ndarray, parts:
                     keys.append(upper(own))
                     marks.append(mark)
                     size += len(own)
-            if size > HELD:
+            if size > PASSED:
                 yield packed()
                 keys, marks, size = [], [], 0
         if keys:

@@ -28,7 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import _kind, _small
+from .common import kind_of as _kind
+from .common import small as _small
 from .common import staged
 
 WIDTH, ROWS, DELAY = 64, 16_384, 4

@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import Pieces, _small
+from .bpe import Pieces
 from .common import new_path
+from .common import small as _small
 
 #: The dictionary is trained on this many documents (the smallest hashes), the start of each, and has
 #: this many bytes at most.

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _kind, _small
+from .common import kind_of as _kind
+from .common import small as _small
 
 MAX_ROWS, MAX_CHARS, MAX_WORDS = 12_000, 40_000_000, 20_000
 STEPS, RATE, DECAY = 300, 0.1, 1e-3

@@ -315,6 +315,7 @@ def test_chunked_trees(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 3)
     monkeypatch.setattr(jaccard, "HOT", 4)
     monkeypatch.setattr(jaccard, "HELD", 300)
+    monkeypatch.setattr(jaccard, "PASSED", 300)
     got = sorted(repr(tuple(r)) for r in jaccard.near_duplicates(docs_of(spark, families(8))).collect())
     assert got == brute(families(8))
 
