@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts of the word operators count it.
@@ -74,6 +74,29 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield b.slice(at, rows)
 
 
+def boxed(docs: DataFrame, row: Column) -> DataFrame:
+    """d: docs' columns in one struct, so that no name of theirs meets ours; id: its doc_id; row: of the
+    columns of docs, what tells texts apart."""
+    one = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    return docs.select(one, F.col("doc_id").alias("id"), row.alias("row"))
+
+
+def once(box: DataFrame) -> DataFrame:
+    """Of boxed rows alike in id and row, the one whose other columns have the smallest digest."""
+    others = [F.col(f"d.`{c}`") for c in box.schema["d"].dataType.names if c not in ("doc_id", "text")]
+    tie = F.md5(F.to_json(F.struct(*others)).cast("binary")) if others else F.lit("")
+    nth = F.row_number().over(Window.partitionBy("id", "row").orderBy(tie))
+    return box.withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
+def replaced(d: Column, docs: DataFrame, text: Column, changed: Column) -> Column:
+    """The struct d with another text, and n_chars, where there is one, counted anew where changed."""
+    out = d.withField("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withField("n_chars", F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(d["n_chars"]))
+    return out
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -41,12 +41,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import boxed, once, staged
 from .common import kind_of as _kind
 from .common import small as _small
-from .common import staged
 
 K, PERCENT = 5, 75
 #: By how many percent of its set a class's prefix goes on beyond the leads.
@@ -625,10 +625,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own, none = F.col("row").cast("string").cast("binary"), F.col("component_id").isNull()
     group = F.when(F.col("n_shingles") == 0, part(True, F.col("doc_id"), own)).otherwise(part(False, F.col("component_id"), F.when(none, F.col("class"))))
     best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("b")).select(F.col("b.doc_id").alias("i"), F.col("b.row").alias("r"))
-    # docs' columns stand in one struct, so no name of theirs meets ours
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).withColumns({"id": F.col("d.doc_id"), "row": F.xxhash64("d.text")})
+    d = boxed(docs, F.xxhash64("text"))
     kept = d.join(best, F.col("id").eqNullSafe(F.col("i")) & F.col("row").eqNullSafe(F.col("r")), "left_semi")
-    others = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    tie = F.md5(F.to_json(F.struct(*others)).cast("binary")) if others else F.lit("")
-    nth = F.row_number().over(Window.partitionBy("id", "row").orderBy(tie))
-    return kept.withColumn("nth", nth).where("nth = 1").select("d.*")
+    return once(kept).select("d.*")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, boxed, once, replaced, staged
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, REPEATS = 1.5, 2
@@ -93,16 +93,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs' columns, each document as often as the mix takes it; a copy that is cut keeps its first
-    words, with a space between. Rows alike in doc_id and text count as one, with one source."""
-    cols = docs.columns
-    d = docs.withColumn("_row", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).dropDuplicates(["doc_id", "_row"])
-    _, order = mix(d.select("doc_id", "source", "text"), **options)
-    order = order.select(F.col("doc_id").alias("_id"), F.col("row").alias("_r"), F.col("words").alias("_words"))
-    out = d.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")))
-    short = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
-    cut = F.col("_words") < word_count(F.col("text"))
-    out = out.withColumns({"text": F.when(cut, short).otherwise(F.col("text")), "_cut": cut})
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+    """docs' columns, whatever their names, each document as often as the mix takes it; a copy that is cut
+    keeps its first words, with a space between. Rows alike in doc_id and text count as one: that whose
+    other columns have the smallest digest, so reruns agree however the rows are dealt."""
+    d = once(boxed(docs, F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    _, order = mix(d.select(F.col("id").alias("doc_id"), F.col("d.source").alias("source"), F.col("d.text").alias("text")), **options)
+    order = order.select(F.col("doc_id").alias("i"), F.col("row").alias("r"), "words")
+    out = d.join(order, F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")))
+    text = F.col("d.text")
+    short = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    cut = F.col("words") < word_count(text)
+    return out.select(replaced(F.col("d"), docs, F.when(cut, short).otherwise(text), cut).alias("d")).select("d.*")

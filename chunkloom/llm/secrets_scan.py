@@ -14,12 +14,13 @@ row each; other columns are ignored; an empty table gives no rows and leaves the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import boxed, new_path, replaced
 
 RULE_VERSION = "1.1"
 _BASE64 = "A-Za-z0-9+/_.=-"
@@ -62,28 +63,47 @@ MORE = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, "eyJ"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, r"xox[abprs]-"),
 ]
+#: Matches of a block, whose places are summed up together.
+BLOCK = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value made once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def before(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """For each of values, array of int from 0 on, what both makes of all that come before it, from 0 on. In
+    two levels: first over blocks of values, then within each block, so no value copies all before it."""
+    grow = lambda acc, x: F.concat(acc, F.array(both(F.element_at(acc, -1), x)))
+    within = lambda b, at: F.slice(F.aggregate(b, F.array(at), grow), F.lit(1), F.size(b))
+
+    def over(blocks: Column) -> Column:
+        bases = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), both)), F.array(F.lit(0)), grow)
+        return F.flatten(F.zip_with(blocks, F.slice(bases, F.lit(1), F.size(blocks)), within))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(cut(v), over)).otherwise(F.array().cast("array<int>")))
+
+
 def spans(text: Column, rule: Rule, kind: int) -> Column:
     """Array of (start, kind's number, end)."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     between = F.split(text, rule.pattern, -1)
-    zipped = F.transform(
+    sizes = F.transform(
         F.arrays_zip(found.alias("m"), held.alias("g"), between.alias("b")),
         lambda x: F.struct(F.length(x["b"]).alias("gap"), F.length(x["m"]).alias("len"), F.length(x["g"]).alias("held")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        one = F.array(F.struct(s.alias("start"), F.lit(kind).alias("kind"), (s + x["len"]).alias("end")))
-        # the last piece has no match after it
-        keep = F.coalesce(x["held"] >= rule.least, F.lit(False))
-        return F.struct((s + F.coalesce(x["len"], F.lit(0))).alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(z: Column) -> Column:
+        ahead = before(F.transform(z, lambda x: x["gap"] + F.coalesce(x["len"], F.lit(0))), lambda a, b: a + b)
+        each = F.zip_with(z, ahead, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["len"]).alias("end"), x["held"].alias("held")))
+        # the last piece has no match after it, so nothing held
+        return F.filter(each, lambda x: F.coalesce(x["held"] >= rule.least, F.lit(False)))
 
-    got = F.aggregate(zipped, start, step, lambda a: a["out"])
+    got = F.transform(bound(sizes, placed), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     return F.when(text.rlike(rule.hint), got).otherwise(F.array().cast(SPAN))
 
 
@@ -111,9 +131,9 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None, rules: list[Rul
     return found.select("blob", F.lit(rule_version).alias("rule_version"), "found")
 
 
-def addressed(docs: DataFrame) -> DataFrame:
-    """docs with blob, the hash of the text."""
-    return docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+def blob_of(text: str) -> Column:
+    """A blob's name: the hash of the text."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
 def ledger_hits(versions: DataFrame, ledger_path: str | None = None, rules: list[Rule] = BASE + MORE, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -135,7 +155,7 @@ def ledger_hits(versions: DataFrame, ledger_path: str | None = None, rules: list
 
 def scan_versions(versions: DataFrame, ledger_path: str | None = None, rules: list[Rule] = BASE + MORE, rule_version: str = RULE_VERSION) -> DataFrame:
     """versions: path, text (more columns are dropped). Returns path, found, for every row."""
-    v = addressed(versions.select("path", F.coalesce("text", F.lit("")).alias("text")))
+    v = versions.select("path", F.coalesce("text", F.lit("")).alias("text"), blob_of("text").alias("blob"))
     out = v.select("path", "blob").join(ledger_hits(v, ledger_path, rules, rule_version), "blob", "left")
     return out.select("path", F.coalesce("found", F.array().cast(SPAN)).alias("found"))
 
@@ -144,24 +164,22 @@ def redact(text: Column, found: Column, rules: list[Rule] = BASE + MORE) -> Colu
     """text with every span of found replaced by its kind in brackets; of spans that overlap, the
     first one names the mask and the cover runs to the furthest end."""
     names = F.array(*[F.lit(r.kind) for r in rules])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        mask = F.concat(F.substr(text, a["at"] + 1, F.greatest(F.lit(0), x["start"] - a["at"])), F.lit("["), F.get(names, x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], F.concat(a["out"], mask)).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    ends = before(F.transform(found, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    each = F.zip_with(found, ends, lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at")))
+    # a span that starts before the furthest end so far belongs to the cover before it
+    pieces = F.transform(F.filter(each, lambda x: x["start"] >= x["at"]), lambda x: F.concat(F.substr(text, x["at"] + 1, x["start"] - x["at"]), F.lit("["), F.get(names, x["kind"]), F.lit("]")))
+    rest = F.substr(text, F.array_max(F.transform(found, lambda x: x["end"])) + 1)
+    return F.when(F.size(found) > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(text)
 
 
 def redacted(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
-    """docs, all columns: spans of texts masked, n_chars (where there is one) counted anew."""
-    cols = docs.columns
-    a = addressed(docs)
-    hits = ledger_hits(a.select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"), "blob"), ledger_path).withColumnRenamed("found", "_found")
-    out = a.join(hits, "blob", "left").withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_found"))))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*cols)
+    """docs, all columns, whatever their names: spans of texts masked, n_chars (where there is one) counted
+    anew. Repeated rows stay; a null text stays null."""
+    box = boxed(docs, blob_of("text"))
+    versions = box.select(F.col("id").alias("path"), F.coalesce("d.text", F.lit("")).alias("text"), F.col("row").alias("blob"))
+    out = box.join(ledger_hits(versions, ledger_path).withColumnRenamed("blob", "row"), "row", "left")
+    text, hit = F.col("d.text"), F.col("found").isNotNull()
+    return out.select(replaced(F.col("d"), docs, F.when(hit, redact(text, F.col("found"))).otherwise(text), hit).alias("d")).select("d.*")
 
 
 def secret_digests(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
