@@ -481,7 +481,7 @@ def _tree(t: pa.Table) -> Tree:
     return Tree(_numbers(t, "n"), _maps(t.column("bits").to_pylist()), comp)
 
 
-def _joined(members: DataFrame, sets: DataFrame, parts: int, turn: int) -> DataFrame:
+def _joined(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     """a, b: components that the trees of each class's largest group join, b the lowest of those joined.
     members: key, size, class, comp."""
     own = members.groupBy("class", "comp").agg(F.max(F.struct("size", "key")).alias("g")).select("class", "comp", "g.key", "g.size")
@@ -499,11 +499,11 @@ def _joined(members: DataFrame, sets: DataFrame, parts: int, turn: int) -> DataF
             out = sorted({(c, low[k]) for c, k in zip(comps, now) if c != low[k]})
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
-    dealt = rows.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "comp")
+    dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "comp")
     return staged(dealt.mapInArrow(walk, "a binary, b binary"), "joined")
 
 
-def _proposed(mixed: DataFrame, sets: DataFrame, parts: int, turn: int) -> DataFrame:
+def _proposed(mixed: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     """a, b: for each component the likeliest pair (in even turns, any) of those its groups' trees give."""
     salt = F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("size") / CHUNK)).cast("int")
     rows = mixed.join(sets.select("class", "n", "bits"), "class").select("key", salt.alias("chunk"), "class", "comp", "n", "bits")
@@ -530,13 +530,13 @@ def _proposed(mixed: DataFrame, sets: DataFrame, parts: int, turn: int) -> DataF
         if out:
             yield made()
 
-    dealt = rows.repartition(parts, "key", "chunk").sortWithinPartitions("key", "chunk", "n", "class")
+    dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "class")
     found = dealt.mapInArrow(walk, "a binary, b binary, ca binary, cb binary, score double")
     own = found.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("score", "a", "b").alias("p"))
     return own.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
-def _tree_pairs(mixed: DataFrame, sets: DataFrame, tested: DataFrame, parts: int) -> DataFrame:
+def _tree_pairs(mixed: DataFrame, sets: DataFrame, tested: DataFrame) -> DataFrame:
     """a, b: all pairs between components that trees leave and that were not tested. A group's largest
     component has chunks of its own, which meet those of the others only."""
     counts = mixed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("g"), F.sum("m").alias("all"))
@@ -574,7 +574,7 @@ def _tree_pairs(mixed: DataFrame, sets: DataFrame, tested: DataFrame, parts: int
         if out:
             yield made()
 
-    dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "class")
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "class")
     return staged(dealt.mapInArrow(walk, "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
@@ -590,14 +590,14 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     sets = _sets_of(docs, rows, groups.select("short").distinct())
     members = staged(groups.join(sets.select("short", "class"), "short").select("key", "size", "class"), "members")
     # each class is in one chunk, so what is joined are stars
-    roots = _joined(members.withColumn("comp", F.col("class")), sets, parts, 0).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = _joined(members.withColumn("comp", F.col("class")), sets, 0).select(F.col("a").alias("node"), F.col("b").alias("root"))
     mixed, turn, tested = _mixed(members, roots), 0, None
     # chunks of a large group have grown apart; dealt anew, what has grown meets
-    roots = _grown(roots, _joined(mixed.where(F.col("size") > CHUNK), sets, parts, 1))
+    roots = _grown(roots, _joined(mixed.where(F.col("size") > CHUNK), sets, 1))
     while True:
         turn += 1
         mixed = _mixed(mixed, roots)
-        likely = _proposed(mixed, sets, parts, turn)
+        likely = _proposed(mixed, sets, turn)
         likely = staged(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "proposed")
         tested = likely if tested is None else tested.union(likely)
         found = _verified(likely, sets, "round")
@@ -606,7 +606,7 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
             roots = _grown(roots, found)
         if not new or turn == TURNS:
             break
-    more = _verified(_tree_pairs(_mixed(mixed, roots), sets, tested, parts), sets, "tree")
+    more = _verified(_tree_pairs(_mixed(mixed, roots), sets, tested), sets, "tree")
     roots = _grown(roots, more)
     by_class = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     by_class = by_class.withColumn("root", F.coalesce("root", "class"))
