@@ -73,6 +73,7 @@ class Pieces:
             vocab = tokenizer.get_vocab()
             self.ends = np.zeros(max(vocab.values(), default=-1) + 1, bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(word_end)]] = True
+        self.bare = _bare(tokenizer) if word_end else None
 
     def learn(self, wanted: set[str]) -> None:
         if len(self.kept) + len(wanted) > CACHE:
@@ -85,19 +86,21 @@ class Pieces:
             else:
                 self.kept[p] = ids
         if self.ends is not None:
-            new = [p for p in new if not p.isalpha()] + self._learn_words([p for p in new if p.isalpha()])
+            words = [p for p in new if p.isalpha()]
+            plain = [p for p in words if self.bare and p.isascii() and p.islower()]
+            new = [p for p in new if not p.isalpha()] + self._learn_words(plain, self.bare) + self._learn_words(list(set(words).difference(plain)), self.tokenizer)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.kept[p] = np.array(e.ids, self.dtype).tobytes()
 
-    def _learn_words(self, words: list[str]) -> list[str]:
+    def _learn_words(self, words: list[str], tokenizer: Tokenizer) -> list[str]:
         """Returns the words that have to be encoded alone."""
         alone, width = [], np.dtype(self.dtype).itemsize
         lines = [words[i : i + 64] for i in range(0, len(words), 64)]
         for at in range(0, len(lines), 64):
             part = lines[at : at + 64]
-            for line, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
+            for line, e in zip(part, tokenizer.encode_batch_fast([" ".join(x) for x in part], add_special_tokens=False)):
                 ids = np.array(e.ids, self.dtype)
                 ends = (np.flatnonzero(self.ends[ids]) + 1) * width
                 if len(ends) != len(line):
@@ -129,6 +132,17 @@ class Pieces:
             yield b"".join(map(get, g))
 
 
+def _bare(tokenizer: Tokenizer) -> Tokenizer | None:
+    """The model behind a cut at white space alone: for words of lower-case ASCII letters, which normalizers
+    and patterns leave as they are, if they do (all pairs of letters are tried)."""
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    probe = " ".join([a + b for a in letters for b in letters] + letters)
+    same = bare.encode(probe, add_special_tokens=False).ids == tokenizer.encode(probe, add_special_tokens=False).ids
+    return bare if same else None
+
+
 def cut_at_spaces(text: str) -> list[str]:
     """Pieces that start with a single space before a character that is no white space, after one
     that is none, and single line feeds between such characters. PATTERN's tokens start there: they

@@ -18,14 +18,15 @@ are ignored; an empty table gives no blocks and a dictionary without data.
 from __future__ import annotations
 
 import hashlib
-import re
 import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Pieces
-from .common import new_path
+from .common import new_path, small_batches
 from .common import small as _small
 
 #: The dictionary is trained on this many documents (the smallest hashes), the start of each, and has
@@ -44,30 +45,83 @@ BLOCK_BYTES, BLOCK_DOCS, LEVEL = 1 << 20, 4096, 3
 _TAIL = string.punctuation.replace("'", "")
 #: The suffix of tokens that end a word.
 WORD_END = "</w>"
-_SPACE, _SEPARATOR = re.compile(r"[ \t\n\x0b\x0c\r]+"), re.compile(r"[\x1c-\x1f]")
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 6 << 20
 
 
+@lru_cache(4096)
 def _stays_letter(c: str) -> bool:
     """Whether c as the tokenizer normalizes it is letters alone: a mark would go with what follows."""
     return c.isascii() or unicodedata.normalize("NFC", c).lower().isalpha()
 
 
-def cut_words(text: str) -> list[str]:
-    """Pieces between ASCII white space; marks that end a word of letters are cut off. The
-    tokenizer drops white space and matches letters and marks apart, so ids just line up."""
-    out = []
-    # str.split() takes four more characters for white space than the tokenizer does
-    for p in _SPACE.split(text) if _SEPARATOR.search(text) else text.split():
-        if p.isalpha():
-            out.append(p)
-            continue
-        word = p.rstrip(_TAIL)
-        if word != p and word.isalpha() and _stays_letter(word[-1]):
-            out.append(word)
-            out.append(p[len(word) :])
-        else:
-            out.append(p)
-    return out
+def _strings(a: pa.Array) -> list[str]:
+    """Strings without line feeds: one string cut up is much faster than a string each."""
+    if not len(a):
+        return []
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a), "\n")
+    return whole[0].as_py().split("\n")
+
+
+def halves(pieces: pa.Array) -> tuple[pa.Array, list[str], np.ndarray]:
+    """What pieces without ASCII white space fall into: a word for each; the distinct marks that are cut off
+    ends of words, "" first; the number of its marks for each. The tokenizer matches letters and marks
+    apart, so marks after a letter can go; after a letter that is normalized to more than letters they stay."""
+    word = pc.utf8_rtrim(pieces, _TAIL)
+    cut = pc.and_(pc.not_equal(word, pieces), pc.utf8_is_alpha(word))
+    odd = pc.and_(cut, pc.invert(pc.string_is_ascii(word)))
+    if pc.any(odd).as_py():
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        cut = cut.to_numpy(zero_copy_only=False).copy()
+        cut[at] = [_stays_letter(w[-1]) for w in _strings(word.take(pa.array(at)))]
+        cut = pa.array(cut)
+    marks, number = {"": 0}, np.zeros(len(pieces), np.int64)
+    number[cut.to_numpy(zero_copy_only=False)] = [marks.setdefault(p[len(w) :], len(marks)) for p, w in zip(_strings(pieces.filter(cut)), _strings(word.filter(cut)))]
+    return pc.if_else(cut, word, pieces), list(marks), number
+
+
+def _placed(ids: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches of ids of the given sizes, those numbered at in a row; and where each of them ends."""
+    start, n = np.cumsum(size) - size, size[at]
+    ends = np.cumsum(n)
+    return ids[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def encoded(pieces: Pieces, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of each text, as little-endian integers. Arrow cuts the texts at ASCII white space, which the
+    tokenizer drops, and numbers the distinct words; only these become Python strings and are looked up,
+    and ids are put in their places by number. ASCII texts are lower-cased before, as the tokenizer does,
+    where that can't make a special token: it leaves fewer distinct words."""
+    texts = texts.fill_null("")
+    plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+    cut = pc.ascii_split_whitespace(pc.if_else(plain, pc.ascii_lower(texts), texts))
+    numbered = cut.flatten().dictionary_encode()
+    word, marks, mark = halves(numbered.dictionary)
+    word = word.dictionary_encode()
+    known = [*_strings(word.dictionary), *marks]
+    pieces.learn(set(known))
+    raw = list(map(pieces.kept.__getitem__, known))
+    ids = np.frombuffer(b"".join(raw), pieces.dtype)
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // ids.itemsize
+    # each distinct piece is its word's ids and its marks'; then each place in the texts is a piece's
+    both = np.stack([word.indices.to_numpy(), mark + len(word.dictionary)], 1).ravel()
+    of_piece, ends = _placed(ids, size, both)
+    ids, ends = _placed(of_piece, np.diff(ends[1::2], prepend=0), numbered.indices.to_numpy())
+    of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy(zero_copy_only=False))])]
+    for i, j in zip(of_text[:-1].tolist(), of_text[1:].tolist()):
+        yield ids[i:j].tobytes()
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of column 1 by some GROUP_BYTES: more rows have fewer distinct words each, and memory holds some
+    twenty bytes for each byte of them. A longer text goes alone, whole."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + GROUP_BYTES, "right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 _WORKER: dict[str, Pieces] = {}
@@ -112,7 +166,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path:
     bound = [r["h"] for r in d.select(h.alias("h")).orderBy("h").limit(SAMPLE).collect()]
     few = d.where(h <= (bound[-1] if bound else 0)).select(h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE)
     pieces = _pieces(text, dtype)
-    data = train_dictionary(list(pieces.encode([r["t"] for r in few.collect()], cut_words)), dictionary_bytes)
+    data = train_dictionary(list(encoded(pieces, pa.array([r["t"] for r in few.collect()], pa.string()))), dictionary_bytes)
     sha = hashlib.sha256(data).hexdigest()
     spark.createDataFrame([(sha, bytearray(data))], "hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
@@ -129,11 +183,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(vals, arrow)], schema=arrow)
 
         arrow = None
-        for b in _small(batches):
+        for b in _slices(batches):
             if arrow is None:
                 k = b.schema.field(0).type
                 arrow = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", k), ("last_id", k), ("width", pa.int32()), ("dict_hash", pa.string()), ("tokens", pa.int64()), ("doc_ids", pa.list_(k)), ("counts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
-            for i, raw in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist(), cut_words)):
+            for i, raw in zip(b.column(0).to_pylist(), encoded(own, b.column(1))):
                 raw += end
                 frame = press.compress(raw)
                 if ids and (at + len(frame) > BLOCK_BYTES or len(ids) >= BLOCK_DOCS):
@@ -150,7 +204,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path:
     # the ids are made after the only shuffle: range partitioning samples its input, which is a scan here
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    with small_batches(spark, 2048):
+        ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 
 

@@ -89,7 +89,10 @@ def test_word_pieces(text):
 
         WORDS = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     ids = lambda t: WORDS.encode(t, add_special_tokens=False).ids
-    assert [i for p in token_files.cut_words(text) for i in ids(p)] == ids(text)
+    pieces = token_files.pa.array(re.split(r"[ \t\n\x0b\x0c\r]+", text))
+    words, marks, number = token_files.halves(pieces)
+    assert [w + marks[n] for w, n in zip(words.to_pylist(), number)] == pieces.to_pylist()
+    assert [i for w, n in zip(words.to_pylist(), number) for i in ids(w) + ids(marks[n])] == ids(text)
 
 
 def test_token_files(spark, odd):
@@ -600,6 +603,25 @@ def test_pipeline(spark, tmp_path):
     assert docs.count() > 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|STARTOFTEXT|>", "<|endoftext|>", "<|", "Word.", "word", "WORD!!", "(a)", "É.", "it's", "\x1c", "x", "|>"]), max_size=12))
+def test_lower_case_makes_no_special_token(words):
+    t, text = _word_tokenizer(P.path("word_bpe_49k.json")), " ".join(words)
+    (got,) = token_files.encoded(bpe.Pieces(t, "<u2", token_files.WORD_END), token_files.pa.array([text]))
+    assert np.frombuffer(got, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_slices_hold_all_rows(monkeypatch):
+    pa = token_files.pa
+    monkeypatch.setattr(token_files, "GROUP_BYTES", 10)
+    texts = ["a" * n for n in (3, 4, 3, 1, 25, 0, 10, 2)] + [None, "x" * 11]
+    b = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["doc_id", "text"])
+    parts = [x.column(1).to_pylist() for x in token_files._slices([b, b.slice(0, 0), b.slice(4, 3)])]
+    assert sum(parts, []) == texts + texts[4:7] and all(len(p) == 1 or sum(len(t or "") for t in p) <= 10 for p in parts)
+    t = _word_tokenizer(P.path("word_bpe_49k.json"))
+    assert list(token_files.encoded(bpe.Pieces(t, "<u2", token_files.WORD_END), pa.array([], "string"))) == []
+
+
 def test_pieces_outlive_a_full_cache(monkeypatch):
     from tokenizers import Tokenizer
 
@@ -619,7 +641,7 @@ def test_words_encoded_together_are_as_encoded_alone():
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["İstanbul ΣΑΣ ﬁne Straße don't stop*** we&&& it's<|endoftext|> a_b_ x^2 日本語 naïve été", "<|startoftext|> " + " ".join(f"wörd{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(500)), "", "Ǆ ŉ ʼn abcİ def", "word's' 'tis rock'n'roll--- (a) [b]] {c}~"]
-    got = list(bpe.Pieces(t, "<u2", token_files.WORD_END).encode(texts, token_files.cut_words))
+    got = list(token_files.encoded(bpe.Pieces(t, "<u2", token_files.WORD_END), token_files.pa.array(texts, "string")))
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -630,7 +652,7 @@ def test_cut_words_line_up_with_the_tokenizer(texts):
     from tokenizers import Tokenizer
 
     t = _word_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
-    got = list(bpe.Pieces(t, "<u2", token_files.WORD_END).encode(texts, token_files.cut_words))
+    got = list(token_files.encoded(bpe.Pieces(t, "<u2", token_files.WORD_END), token_files.pa.array(texts, "string")))
     assert [np.frombuffer(g, "<u2").tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
