@@ -14,13 +14,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .gear_table import PUBLISHED
 
@@ -97,22 +92,3 @@ def _stepwise(data: bytes, least: int, most: int, bits: int, table: np.ndarray)
     if size:
         out.append(len(data))
     return out
-
-
-def chunk_ends(content: Column, target: int = TARGET, table: np.ndarray | None = None) -> Column:
-    """Array of chunk ends of a binary column."""
-    table = default_table() if table is None else table
-
-    @pandas_udf("array<bigint>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([None if x is None else cuts(bytes(x), target, table) for x in s], dtype=object)
-
-    return run(content)
-
-
-def group4(content: Column, length: Column) -> Column:
-    """Byte i to group i mod 4, groups one after another; plain SQL."""
-    at = F.sequence(F.lit(1), length)
-    pick = lambda k: F.array_join(F.transform(F.filter(at, lambda i: (length > 0) & ((i - 1) % 4 == k)), lambda i: F.hex(F.substr(content, i, F.lit(1)))), "")
-    return F.unhex(F.concat(*[pick(k) for k in range(4)]))

@@ -44,8 +44,7 @@ def upload(files: DataFrame, path: str = "path", content: str = "content", targe
     roots = listed.groupBy("grp", "pack").agg(nodes.alias("nodes"), F.sum("length").alias("raw_bytes"), F.count("*").alias("chunk_count"))
     roots = roots.withColumn("pack_hash", pack_root("nodes")).drop("nodes")
     terms = packing.file_terms(placed)
-    spans = placed.join(terms.select("file", "term_ord", "first_chunk", "chunks"), "file").where((F.col("chunk_ord") >= F.col("first_chunk")) & (F.col("chunk_ord") < F.col("first_chunk") + F.col("chunks")))
-    checks = spans.groupBy("file", "term_ord").agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "hash"))).alias("h")).select("file", "term_ord", verification(F.transform("h", lambda x: x["hash"])).alias("verification"))
+    checks = packing.term_hashes(placed).select("file", "term_ord", verification("hashes").alias("verification"))
     roots_of = packing.ordered(placed).select("file", file_root("nodes").alias("file_hash"))
     shas = f.select("file", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size"))
     return Upload(c, listed, bodies.join(roots, ["grp", "pack"]), terms.join(checks, ["file", "term_ord"]), shas.join(roots_of, "file"), dedup.storage_stats(marked, "file"))

@@ -1,7 +1,8 @@
 """The registered queries of the storage engine and their DuckDB SQL.
 
-Chunks come by content-defined cuts where the query's name says so, else by lines: dedup, packing,
-terms and reconstruction take any chunk table, and lines keep the SQL side short.
+Chunks come by content-defined cuts (target 1024) where the query's name ends in ``_cdc`` or says
+chunk_lengths, else by lines: the operators take any chunk table, and each of them is held against
+SQL over both.
 """
 
 from __future__ import annotations
@@ -40,28 +41,35 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = """l as (select doc_id as file, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos, len(string_split(text, chr(10))) as n from documents),
 c0 as (select file, pos::bigint as chunk_ord, case when pos + 1 < n then line || chr(10) else line end as chunk from l),
 c as (select file, chunk_ord, strlen(chunk)::bigint as length, sha256(chunk) as chunk_key, chunk from c0 where strlen(chunk) > 0)"""
-FIRST = LINES + """,
+_FIRST = """,
 f as (select *, first_value(file) over w as first_file, first_value(chunk_ord) over w as first_ord from c window w as (partition by chunk_key order by file, chunk_ord)),
 m as (select *, file <> first_file or chunk_ord <> first_ord as is_dup from f)"""
 #: New chunks in order with the bytes before each; then one step of recursion for each pack.
-PACKED = FIRST + f""",
+_PACKED = f""",
 s as (select file, chunk_ord, length, chunk_key, row_number() over w as seq, sum(length) over (w rows unbounded preceding) as upto from m where not is_dup window w as (order by file, chunk_ord)),
 p as (select 0::bigint as pack, 1::bigint as start, least((select min(seq) from s where upto > {PACK}), 8193)::bigint as stop
   union all
   select p.pack + 1, p.stop, least(coalesce(min(s.seq) filter (where s.upto > b.upto + {PACK} and s.seq > p.stop), 1099511627776), p.stop + 8192)
   from p join s b on b.seq = p.stop - 1 join s on s.seq >= p.stop group by p.pack, p.stop),
 k as (select s.*, p.pack, (s.seq - p.start)::bigint as idx from s join p on s.seq >= p.start and s.seq < coalesce(p.stop, 1099511627776))"""
-TERMS = PACKED + """,
+_TERMS = """,
 pl as (select c.file, c.chunk_ord, c.length, k.pack, k.idx from c join k using (chunk_key)),
 op as (select *, case when lag(pack) over w = pack and lag(idx) over w + 1 = idx then 0 else 1 end as opens from pl window w as (partition by file order by chunk_ord)),
 tn as (select *, sum(opens) over (partition by file order by chunk_ord rows unbounded preceding) - 1 as term_ord from op),
 t as (select file, term_ord::bigint as term_ord, min(pack)::bigint as pack, min(idx)::bigint as "start", (max(idx) + 1)::bigint as "end", sum(length)::bigint as unpacked_length, count(*)::bigint as chunks, min(chunk_ord)::bigint as first_chunk from tn group by file, term_ord)"""
+FIRST = LINES + _FIRST
+PACKED = FIRST + _PACKED
+TERMS = PACKED + _TERMS
+
+
+def packed_of(c: DataFrame) -> DataFrame:
+    none = c.sparkSession.createDataFrame([], "chunk_key string")
+    return packing.assign_packs(dedup.new_chunks(c, none), PACK)
 
 
 def packed_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = lines(spark, sf_dir).drop("chunk")
-    none = spark.createDataFrame([], "chunk_key string")
-    return c, packing.assign_packs(dedup.new_chunks(c, none), PACK)
+    return c, packed_of(c)
 
 
 def line_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,14 +80,15 @@ def line_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scans, chunks, hashes
 
 
-def _cuts_sql(target: int) -> str:
+def _cuts(target: int) -> str:
+    """Common tables up to cut: file, chunk_ord, offset, e (the end), n."""
     least, most, bits = gear.limits(target)
     numbers = ", ".join(f"{int(x)}::hugeint" for x in gear.default_table())
     last, steps = "h0", []
     for i, k in enumerate((1, 2, 4, 8, 16, 32)):
         steps.append(f"h{i + 1} as (select file, i, (h + coalesce(lag(h, {k}) over (partition by file order by i), 0) * {1 << k}::hugeint) % 18446744073709551616::hugeint as h from {last})")
         last = f"h{i + 1}"
-    return f"""with recursive d as (select doc_id as file, hex(encode(text)) as x, strlen(text)::bigint as n from documents where text <> ''),
+    return f"""d as (select doc_id as file, hex(encode(text)) as x, strlen(text)::bigint as n from documents where text <> ''),
 b as (select file, x, unnest(range(1, n + 1)) as i from d),
 h0 as (select file, i, ([{numbers}])[(instr('0123456789ABCDEF', substr(x, (2 * i - 1)::bigint, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, (2 * i)::bigint, 1))] as h from b),
 {", ".join(steps)},
@@ -87,8 +96,18 @@ cand as (select file, i from {last} where h < {1 << (64 - bits)}::hugeint),
 cut as (select file, 0::bigint as chunk_ord, 0::bigint as "offset", least(coalesce((select min(i) from cand where cand.file = d.file and i >= {least}), n), {most}, n)::bigint as e, n from d
   union all
   select cut.file, cut.chunk_ord + 1, cut.e, least(coalesce(min(cand.i), cut.n), cut.e + {most}, cut.n)::bigint, cut.n
-  from cut left join cand on cand.file = cut.file and cand.i >= cut.e + {least} where cut.e < cut.n group by cut.file, cut.chunk_ord, cut.e, cut.n)
-select file, chunk_ord, "offset", (e - "offset")::bigint as length from cut"""
+  from cut left join cand on cand.file = cut.file and cand.i >= cut.e + {least} where cut.e < cut.n group by cut.file, cut.chunk_ord, cut.e, cut.n)"""
+
+
+def _cuts_sql(target: int) -> str:
+    return f"""with recursive {_cuts(target)} select file, chunk_ord, "offset", (e - "offset")::bigint as length from cut"""
+
+
+#: The same tables over content-defined chunks.
+CDC_FIRST = _cuts(1024) + """,
+c as (select cut.file, chunk_ord, (e - "offset")::bigint as length, sha256(unhex(substr(x, 2 * "offset" + 1, 2 * (e - "offset")))) as chunk_key from cut join d on d.file = cut.file)""" + _FIRST
+CDC_PACKED = CDC_FIRST + _PACKED
+CDC_TERMS = CDC_PACKED + _TERMS
 
 
 def cdc(spark: SparkSession, sf_dir: str, target: int) -> DataFrame:
@@ -98,12 +117,12 @@ def cdc(spark: SparkSession, sf_dir: str, target: int) -> DataFrame:
 
 @query(_cuts_sql(1024))
 def chunk_lengths_t1024(spark, sf_dir):
-    return cdc(spark, sf_dir, 1024).select("file", F.col("chunk_ord").cast("long").alias("chunk_ord"), "offset", "length")
+    return cdc(spark, sf_dir, 1024).select("file", "chunk_ord", "offset", "length")
 
 
-@query()
+@query(_cuts_sql(65_536))
 def chunk_lengths_t65536(spark, sf_dir):
-    return cdc(spark, sf_dir, 65_536).select("file", F.col("chunk_ord").cast("long").alias("chunk_ord"), "offset", "length")
+    return cdc(spark, sf_dir, 65_536).select("file", "chunk_ord", "offset", "length")
 
 
 @query("select doc_id, sha256(text) as sha256, strlen(text)::bigint as bytes from documents")
@@ -135,14 +154,18 @@ def pack_hash_blake3(spark, sf_dir):
 
 @query()
 def term_verification(spark, sf_dir):
+    c = lines(spark, sf_dir).select("file", "chunk_ord", "length", "chunk_key", chunk_hash(F.col("chunk").cast("binary")).alias("hash"))
+    placed = packing.placements(c, packed_of(c.drop("hash")))
+    return packing.term_hashes(placed).select("file", "term_ord", verification("hashes").alias("verification"))
+
+
+@query(f"""with recursive {TERMS} select file, term_ord::bigint as term_ord, sha256(string_agg(chunk_key, '' order by chunk_ord)) as digest
+from (select tn.file, tn.chunk_ord, tn.term_ord, c.chunk_key from tn join c on c.file = tn.file and c.chunk_ord = tn.chunk_ord) group by file, term_ord""")
+def term_digest(spark, sf_dir):
+    """What term_verification hashes, by SHA-256 of the chunks' keys in order."""
     c, packed = packed_lines(spark, sf_dir)
-    h = lines(spark, sf_dir).select("file", "chunk_ord", chunk_hash(F.col("chunk").cast("binary")).alias("hash"))
-    placed = packing.placements(c.select("file", "chunk_ord", "length", "chunk_key"), packed)
-    t = packing.file_terms(placed).select("file", "term_ord", "first_chunk", "chunks")
-    # the island's own chunks, by place in the file: no chunk is skipped within a term
-    j = h.join(t, "file").where((F.col("chunk_ord") >= F.col("first_chunk")) & (F.col("chunk_ord") < F.col("first_chunk") + F.col("chunks")))
-    g = j.groupBy("file", "term_ord").agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "hash"))).alias("h"))
-    return g.select("file", "term_ord", verification(F.transform("h", lambda x: x["hash"])).alias("verification"))
+    placed = packing.placements(c.select("file", "chunk_ord", "length", "chunk_key"), packed).withColumn("hash", F.col("chunk_key"))
+    return packing.term_hashes(placed).select("file", "term_ord", F.sha2(F.array_join("hashes", "").cast("binary"), 256).alias("digest"))
 
 
 @query("""with h as (select doc_id, sha256(text) as x from documents),
@@ -224,7 +247,7 @@ def shard_search(spark, sf_dir):
     return found.select("file", "chunk_ord", "shard_ord", "pack", "idx")
 
 
-@query()
+@query(SQL["shard_search"])
 def hmac_probe(spark, sf_dir):
     key = "0123456789abcdef" * 4
     index = _index(spark, sf_dir)
@@ -340,11 +363,10 @@ select doc_id, lower(concat(list_aggregate([substr(x, 2 * i + 1, 2) for i in ran
   list_aggregate([substr(x, 2 * i + 1, 2) for i in range(2, n, 4)], 'string_agg', ''), list_aggregate([substr(x, 2 * i + 1, 2) for i in range(3, n, 4)], 'string_agg', ''))) as grouped from d""")
 def byte_group4(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("c"))
-    return d.select("doc_id", F.lower(F.hex(gear.group4(F.col("c"), F.length("c")))).alias("grouped"))
+    return d.select("doc_id", F.lower(F.hex(packs.grouped("c"))).alias("grouped"))
 
 
-@query()
-def compress_choice(spark, sf_dir):
+def _choices(spark, sf_dir) -> DataFrame:
     @F.pandas_udf("struct<scheme:int,stored:bigint,raw:bigint>")
     def choose(c):
         import pandas as pd
@@ -355,6 +377,18 @@ def compress_choice(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", choose(F.col("text").cast("binary")).alias("c")).select("doc_id", "c.*")
 
 
+@query()
+def compress_choice(spark, sf_dir):
+    return _choices(spark, sf_dir)
+
+
+@query("select doc_id, strlen(text)::bigint as raw, true as no_larger, true as raw_if_equal from documents")
+def compress_bounds(spark, sf_dir):
+    """What a choice of scheme must keep to: no stored form is larger, and only the raw one is as large."""
+    c = _choices(spark, sf_dir)
+    return c.select("doc_id", "raw", (F.col("stored") <= F.col("raw")).alias("no_larger"), ((F.col("stored") == F.col("raw")) == (F.col("scheme") == packs.RAW)).alias("raw_if_equal"))
+
+
 @query(f"with recursive {PACKED} select pack, idx, chunk_key, length as raw from k")
 def pack_roundtrip(spark, sf_dir):
     """Packs written to the binary format and read back."""
@@ -414,3 +448,46 @@ def range_normalized(spark, sf_dir):
 def event_streams(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), F.to_json(F.struct(F.col("event_type").alias("type"))).alias("value"))
     return formats.events(e, "user_id", "value", ("purchase",), ("view", "click", "purchase"))
+
+
+# The same operators over content-defined chunks
+
+
+def cdc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc(spark, sf_dir, 1024).select("file", "chunk_ord", "length", "chunk_key")
+
+
+@query(f"with recursive {CDC_FIRST} select file, chunk_ord, length, chunk_key, first_file, first_ord, is_dup from m")
+def first_occurrence_cdc(spark, sf_dir):
+    return dedup.first_occurrence(cdc_chunks(spark, sf_dir))
+
+
+@query(f"""with recursive {CDC_FIRST} select source, count(*)::bigint as chunks, sum(length)::bigint as bytes, coalesce(sum(length) filter (where is_dup), 0)::bigint as dedup_bytes
+from m join documents on doc_id = file group by source""")
+def dedup_stats_cdc(spark, sf_dir):
+    m = dedup.first_occurrence(cdc_chunks(spark, sf_dir))
+    return dedup.storage_stats(m.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "source"), "file"), "source")
+
+
+@query(f"with recursive {CDC_PACKED} select file, chunk_ord, length, chunk_key, pack, idx from k")
+def pack_assignment_cdc(spark, sf_dir):
+    return packed_of(cdc_chunks(spark, sf_dir)).drop("grp")
+
+
+@query(f"with recursive {CDC_TERMS} select * from t")
+def file_terms_cdc(spark, sf_dir):
+    c = cdc_chunks(spark, sf_dir)
+    return packing.file_terms(packing.placements(c, packed_of(c))).drop("grp")
+
+
+@query("select doc_id as file, sha256(text) as sha256, strlen(text)::bigint as bytes from documents where text <> ''")
+def reconstruct_cdc(spark, sf_dir):
+    """Every document cut by content, packed, and rebuilt from the packs' bytes by its terms."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    c = chunking.chunk_table(d, "doc_id", "content", 1024, keep_content=True)
+    slim = c.drop("chunk", "offset")
+    packed = packed_of(slim)
+    bodies = packed.join(c.select("file", "chunk_ord", "chunk"), ["file", "chunk_ord"]).select("pack", "idx", "chunk")
+    terms = packing.file_terms(packing.placements(slim, packed)).select("file", "term_ord", "pack", "start", "end")
+    pieces = reconstruct.expand_terms(terms).join(bodies, ["pack", "idx"]).select("file", F.struct("term_ord", "idx").alias("chunk_ord"), F.col("chunk").alias("piece"))
+    return reconstruct.concatenated(pieces).select("file", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("bytes"))
