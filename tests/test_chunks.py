@@ -1,5 +1,3 @@
-import os
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,9 +30,36 @@ def test_small_targets_and_ends():
         gear.limits(1000)
 
 
-@pytest.mark.skipif(not os.environ.get("CHUNKLOOM_GEAR_TABLE"), reason="the published table is a parameter")
-def test_published_boundaries():
-    assert gear.cuts(stream(1_000_000)) == BOUNDARIES
+# A pattern whose end sets off cuts, and the published cuts of 64 KiB of it with so many zero
+# bytes after it, doubled again and again.
+PATTERN = [
+    154, 52, 42, 34, 159, 75, 126, 224, 70, 236, 12, 196, 79, 236, 178, 124, 127, 50, 99, 178, 44, 176, 174, 126, 250, 235, 205, 174, 252, 122, 35, 10,
+    20, 101, 214, 69, 193, 8, 115, 105, 158, 228, 120, 111, 136, 162, 198, 251, 211, 183, 253, 252, 164, 147, 63, 16, 186, 162, 117, 23, 170, 36, 205, 187,
+    174, 76, 210, 174, 211, 175, 12, 173, 145, 59, 2, 70, 222, 181, 159, 227, 182, 156, 189, 51, 226, 106, 24, 50, 183, 157, 140, 10, 8, 23, 212, 70,
+    10, 234, 23, 33, 219, 254, 39, 236, 70, 49, 191, 116, 9, 115, 15, 101, 26, 159, 165, 220, 15, 170, 56, 125, 92, 163, 94, 235, 38, 40, 49, 81,
+]
+PATTERN_CUTS = {
+    0: [8256, 16448, 24640, 32832, 41024, 49216, 57408, 65536],
+    1: [8320, 16576, 24832, 33088, 41344, 49600, 57856, 65536],
+    2: [8254, 16574, 24894, 33214, 41534, 49854, 58174, 65536],
+    3: [8317, 16570, 24823, 33076, 41329, 49582, 57835, 65536],
+    4: [8248, 16564, 24880, 33196, 41512, 49828, 58144, 65536],
+    5: [8310, 16556, 24802, 33048, 41294, 49540, 57786, 65536],
+    10: [8206, 16486, 24766, 33046, 41326, 49606, 57886, 65536],
+    11: [8265, 16466, 24667, 32868, 41069, 49270, 57471, 65536],
+    13: [8242, 16561, 24880, 33199, 41518, 49837, 58156, 65536],
+}
+
+
+@pytest.mark.parametrize("padding", PATTERN_CUTS)
+def test_published_cuts_of_the_pattern(padding):
+    data = bytes(PATTERN) + bytes(padding)
+    while len(data) < 65_536:
+        data += data[: 65_536 - len(data)]
+    assert gear.cuts(data) == PATTERN_CUTS[padding]
+
+
+def test_constant_bytes_are_cut_at_the_maximum():
     assert gear.cuts(bytes([59]) * 1_000_000) == [131072 * i for i in range(1, 8)] + [1_000_000]
 
 
@@ -68,6 +93,21 @@ def test_next_fit(lengths):
     assert packing.next_fit(np.array(lengths, np.int64), 100, 5).tolist() == got
 
 
+@given(st.lists(st.lists(st.integers(1, 120), min_size=1, max_size=20), max_size=8))
+def test_next_fit_goes_on(parts):
+    """Fed in parts, packs are those of the whole."""
+    import numpy as np
+
+    fit, got = packing.NextFit(100, 5), []
+    for p in parts:
+        first, held, cuts = fit.pack, fit.count, fit.feed(np.array(p, np.int64))
+        for i in range(len(p)):
+            passed = [c for c in cuts if c <= i]
+            got.append((first + len(passed), i - passed[-1] if passed else held + i))
+    whole = packing.next_fit(np.array(sum(parts, []), np.int64), 100, 5).tolist()
+    assert got == [(k, whole[:i].count(k)) for i, k in enumerate(whole)]
+
+
 @given(st.binary(max_size=600))
 def test_codecs(data):
     assert packs.ungroup4(packs.group4(data)) == data
