@@ -26,9 +26,10 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from .common import kind_of as _kind
 from .common import small as _small
+from .common import tidy
 
 #: Pieces in a generation of a worker's cache (some 200 bytes each).
-CACHE = 400_000
+CACHE = 250_000
 
 
 def byte_chars() -> list[str]:
@@ -251,7 +252,7 @@ def encode(docs: DataFrame, codec: Codec, offsets: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "ends", "char_ends"][: len(cols)])
 
     more = ", ends array<long>, char_ends array<long>" if offsets else ""
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(docs)}, ids array<int>{more}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {_kind(docs)}, ids array<int>{more}")
 
 
 def round_trip_digests(docs: DataFrame, codec: Codec) -> DataFrame:
@@ -269,7 +270,7 @@ def round_trip_digests(docs: DataFrame, codec: Codec) -> DataFrame:
                 back_sha.append(hashlib.sha256(decode_bytes(np.frombuffer(x, "<u4"), table)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {_kind(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
@@ -282,14 +283,15 @@ def decode(encoded: DataFrame, codec: Codec) -> DataFrame:
             out = ["".join(decode_stream(i or (), table)) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {_kind(encoded)}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {_kind(encoded)}, text string")
 
 
 def encode_stage(docs: DataFrame, codec: Codec) -> DataFrame:
-    """The pipeline's last stage: docs' columns, ids and n_tokens, in one pass."""
+    """The pipeline's last stage: docs' columns, ids and n_tokens, in one pass. Columns of docs that have these
+    two names go; all others come back as they were. A null text has no ids; repeated rows stay."""
     text = codec.json
     keep = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    docs = docs.select(*keep)
+    docs = docs.select(*[f"`{c}`" for c in keep])
     at = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,4 +301,4 @@ def encode_stage(docs: DataFrame, codec: Codec) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64())], [*keep, "ids", "n_tokens"])
 
     schema = ", ".join(f"`{c}` {_kind(docs, c)}" for c in keep)
-    return docs.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long")
+    return docs.mapInArrow(tidy(run), f"{schema}, ids array<int>, n_tokens long")

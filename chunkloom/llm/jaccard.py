@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, once, staged
+from .common import boxed, once, staged, tidy, trim
 from .common import kind_of as _kind
 from .common import small as _small
 
@@ -278,7 +278,7 @@ def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held:
             yield repeated()
 
-    all_ = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, f"doc_id {kind}, row long, n long, class binary, short long, count long"), "shingle-sets")
+    all_ = staged(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(tidy(run), f"doc_id {kind}, row long, n long, class binary, short long, count long"), "shingle-sets")
     return all_.where("count is null").drop("count"), all_.where("count is not null").select(F.col("short").alias("shingle"), "count")
 
 
@@ -352,8 +352,8 @@ def _shared_keys(docs: DataFrame, often: np.ndarray, counts: np.ndarray, parts:
         for at in range(0, len(cols[0]), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in cols], ["key", "short", "lead"])
 
-    blobs = docs.select("text").mapInArrow(emit, "to long, keys binary, marks binary")
-    return staged(blobs.repartition(parts, "to").mapInArrow(gather, "key long, short long, lead boolean"), "shared-keys")
+    blobs = docs.select("text").mapInArrow(tidy(emit), "to long, keys binary, marks binary")
+    return staged(blobs.repartition(parts, "to").mapInArrow(tidy(gather), "key long, short long, lead boolean"), "shared-keys")
 
 
 def _groups(shared: DataFrame, rows: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, shorts: DataFrame) -> DataFrame:
             cols = [short_of(c) for c in ids], [len(s) for s in sets], [bitmap(s).tobytes() for s in sets], [_packed(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, *cols), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
 
-    found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(run, "class binary, short long, n long, bits binary, tokens binary")
+    found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(tidy(run), "class binary, short long, n long, bits binary, tokens binary")
     # texts that differ in case or spacing may share a set: one row a class
     return staged(found.join(shorts, "short", "left_semi").dropDuplicates(["class"]), "candidates")
 
@@ -414,7 +414,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
     one = lambda c: sets.select(F.col("class").alias(c), F.col("tokens").alias(f"t{c}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ta", "tb")
-    return staged(both.mapInArrow(exact, "a binary, b binary"), f"{name}-links")
+    return staged(both.mapInArrow(tidy(exact), "a binary, b binary"), f"{name}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -500,7 +500,7 @@ def _joined(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "comp")
-    return staged(dealt.mapInArrow(walk, "a binary, b binary"), "joined")
+    return staged(dealt.mapInArrow(tidy(walk), "a binary, b binary"), "joined")
 
 
 def _proposed(mixed: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
@@ -531,7 +531,7 @@ def _proposed(mixed: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
             yield made()
 
     dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "class")
-    found = dealt.mapInArrow(walk, "a binary, b binary, ca binary, cb binary, score double")
+    found = dealt.mapInArrow(tidy(walk), "a binary, b binary, ca binary, cb binary, score double")
     own = found.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("score", "a", "b").alias("p"))
     return own.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
@@ -575,7 +575,7 @@ def _tree_pairs(mixed: DataFrame, sets: DataFrame, tested: DataFrame) -> DataFra
             yield made()
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "class")
-    return staged(dealt.mapInArrow(walk, "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    return staged(dealt.mapInArrow(tidy(walk), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
 def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
@@ -587,6 +587,8 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     often, counts = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(often)
     groups = _groups(_shared_keys(docs, often[order], counts[order], parts), rows)
+    del top, often, counts, order
+    trim()
     sets = _sets_of(docs, rows, groups.select("short").distinct())
     members = staged(groups.join(sets.select("short", "class"), "short").select("key", "size", "class"), "members")
     # each class is in one chunk, so what is joined are stars

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Pieces
-from .common import new_path, small_batches
+from .common import new_path, small_batches, tidy
 from .common import small as _small
 
 #: The dictionary is trained on this many documents (the smallest hashes), the start of each, and has
@@ -205,7 +205,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = d.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     with small_batches(spark, 2048):
-        ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+        ordered.mapInArrow(tidy(run), schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 
 
@@ -257,7 +257,7 @@ def token_digests(path: str) -> DataFrame:
                 crc.append(zlib.crc32(raw if width == 4 else np.frombuffer(raw, "<u2").astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, k), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(tidy(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> dict[int, list[int]]:

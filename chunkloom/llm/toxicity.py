@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import kind_of as _kind
 from .common import small as _small
+from .common import tidy, trim
 
 MAX_ROWS, MAX_CHARS, MAX_WORDS = 12_000, 40_000_000, 20_000
 STEPS, RATE, DECAY = 300, 0.1, 1e-3
@@ -134,7 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
         if chars > max_chars:
             break
         got.append((r["text"], int(r["toxic"])))
-    return fit(got)
+    model = fit(got)
+    got.clear()
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -147,7 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             rows = [model.score(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds)]], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_kind(docs)}, score double, worst_start long, worst_end long, worst_score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {_kind(docs)}, score double, worst_start long, worst_end long, worst_score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -158,7 +162,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for b in _small(batches):
             yield b.filter(pa.array([model.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -501,6 +501,17 @@ def test_stages_keep_columns_of_any_name(spark):
         assert stage(d.limit(0)).count() == 0
 
 
+def test_filter_and_encoder_keep_columns_of_any_name(spark, codec):
+    texts = [(1, None), (2, ""), (3, "vile words here"), (None, "fair words"), (4, "fair words"), (4, "fair words"), (5, LONG)]
+    rows = [(i, t, "en", "a", len(t or ""), *(f"{c}{k}" for c in CLASH)) for k, (i, t) in enumerate(texts)]
+    d = spark.createDataFrame(rows, DOCS.split(", ids")[0] + "".join(f", `{c}` string" for c in CLASH))
+    model = toxicity.Model({"vile": 9.0})
+    assert sorted(map(repr, map(tuple, toxicity.keep_clean(d, model).collect()))) == sorted(repr(r) for r in rows if r[0] != 3)
+    out = bpe.encode_stage(d, codec)
+    assert out.columns == [*d.columns, "ids", "n_tokens"] and sorted(map(repr, (tuple(r)[:-2] for r in out.collect()))) == sorted(map(repr, rows))
+    assert bpe.encode_stage(d.limit(0), codec).count() == 0 and toxicity.keep_clean(d.limit(0), model).count() == 0
+
+
 def test_private_keys_leave_no_byte(spark):
     r = random.Random(9)
     line = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
