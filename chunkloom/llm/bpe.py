@@ -26,7 +26,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
 from .common import kind_of as _kind
 from .common import small as _small
-from .common import tidy
+from .common import numbered, tidy
 
 #: Pieces in a generation of a worker's cache (some 200 bytes each).
 CACHE = 250_000
@@ -291,14 +291,14 @@ def encode_stage(docs: DataFrame, codec: Codec) -> DataFrame:
     two names go; all others come back as they were. A null text has no ids; repeated rows stay."""
     text = codec.json
     keep = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    docs = docs.select(*[f"`{c}`" for c in keep])
-    at = keep.index("text")
+    docs, at = numbered(docs.select(*[f"`{c}`" for c in keep])), keep.index("text")
+    names = [*docs.columns, "ids", "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _ = _worker(text)
         for b in _small(batches):
             ids = [np.frombuffer(x, "<u4").astype("i4") for x in pieces.encode(_texts(b, at), cut_at_spaces)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64())], [*keep, "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64())], names)
 
-    schema = ", ".join(f"`{c}` {_kind(docs, c)}" for c in keep)
-    return docs.mapInArrow(tidy(run), f"{schema}, ids array<int>, n_tokens long")
+    schema = ", ".join(f"{c} {_kind(docs, c)}" for c in docs.columns)
+    return docs.mapInArrow(tidy(run), f"{schema}, ids array<int>, n_tokens long").toDF(*keep, "ids", "n_tokens")

@@ -103,6 +103,11 @@ def boxed(docs: DataFrame, row: Column) -> DataFrame:
     return docs.select(one, F.col("doc_id").alias("id"), row.alias("row"))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with plain column names by place: mapInArrow takes no names with a dot."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def once(box: DataFrame) -> DataFrame:
     """Of boxed rows alike in id and row, the one whose other columns have the smallest digest."""
     others = [F.col(f"d.`{c}`") for c in box.schema["d"].dataType.names if c not in ("doc_id", "text")]

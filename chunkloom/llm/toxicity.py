@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import kind_of as _kind
 from .common import small as _small
-from .common import tidy, trim
+from .common import numbered, tidy, trim
 
 MAX_ROWS, MAX_CHARS, MAX_WORDS = 12_000, 40_000_000, 20_000
 STEPS, RATE, DECAY = 300, 0.1, 1e-3
@@ -156,13 +156,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score threshold or more; all columns stay."""
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
             yield b.filter(pa.array([model.score(t or "")[0] < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    docs = numbered(docs)
+    return docs.mapInArrow(tidy(run), docs.schema).toDF(*names)
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
