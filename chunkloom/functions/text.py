@@ -62,6 +62,12 @@ def is_retryable(status: Column) -> Column:
     return status.isin(*RETRYABLE)
 
 
+def backoff(attempt: Column, base: Column, most: Column, jitter: Column | None = None) -> Column:
+    """Seconds to wait after a failed attempt (from 1): base, doubled each time, most at most, times jitter
+    (0 to 1; drawn evenly if not given)."""
+    return F.least(base * F.pow(F.lit(2.0), attempt - 1), most) * (F.rand() if jitter is None else jitter)
+
+
 def known_total(c: Column) -> Column:
     """The sum, null unless every row has a value; an aggregate."""
     return F.when(F.count("*") == F.count(c), F.sum(c))

@@ -12,7 +12,8 @@ SAMPLE_RATE = 1024
 
 def first_occurrence(chunks: DataFrame) -> DataFrame:
     """chunks with first_file, first_ord and is_dup. The first place of each key comes by a partial
-    aggregation, so a key that repeats without end is no hot group."""
+    aggregation; joined back, a key that repeats without end makes its part of the join large, which
+    adaptive execution splits, since the other side has each key once."""
     first = chunks.groupBy("chunk_key").agg(F.min(F.struct("file", "chunk_ord")).alias("f"))
     out = chunks.join(first, "chunk_key").select(*chunks.columns, F.col("f.file").alias("first_file"), F.col("f.chunk_ord").alias("first_ord"))
     return out.withColumn("is_dup", (F.col("file") != F.col("first_file")) | (F.col("chunk_ord") != F.col("first_ord")))
@@ -35,8 +36,24 @@ def is_eligible(key: Column, rate: int = SAMPLE_RATE) -> Column:
 
 
 def eligible_misses(chunks: DataFrame, index: DataFrame, rate: int = SAMPLE_RATE) -> DataFrame:
-    miss = chunks.join(index.select("chunk_key"), "chunk_key", "left_anti").where(is_eligible(F.col("chunk_key"), rate))
-    return miss.agg(F.count_distinct("chunk_key").alias("queries"))
+    """chunk_key: the keys that a global index is asked about, once each."""
+    miss = chunks.select("chunk_key").join(index.select("chunk_key"), "chunk_key", "left_anti")
+    return miss.where(is_eligible(F.col("chunk_key"), rate)).distinct()
+
+
+def known_places(chunks: DataFrame, shards: DataFrame, stored: DataFrame | None, as_of: Column, rate: int = SAMPLE_RATE) -> tuple[DataFrame, DataFrame]:
+    """(chunk_key, pack, idx of what is stored already; the keys asked about). shards: those at hand, stored:
+    all of a service, both shard_ord, pack, idx, chunk_key, expires_at. A sampled key that the shards
+    at hand lack is asked about; a shard of the service that holds it and has not expired comes to hand
+    whole, so chunks near by are found in it too."""
+    live = lambda s: s.where(~F.coalesce(is_expired(F.col("expires_at"), as_of), F.lit(False)))
+    asked = eligible_misses(chunks, live(shards), rate)
+    near = live(shards)
+    if stored is not None:
+        got = live(stored).join(asked, "chunk_key", "left_semi").select("shard_ord").distinct()
+        near = near.unionByName(live(stored).join(got, "shard_ord", "left_semi"))
+    found = probe(chunks.select("chunk_key").distinct(), near, as_of).where("pack is not null")
+    return found.select("chunk_key", "pack", "idx"), asked
 
 
 def probe(chunks: DataFrame, shards: DataFrame, as_of: Column, key: str | None = None) -> DataFrame:
@@ -70,8 +87,3 @@ def duplicate_paths(files: DataFrame, path: str) -> DataFrame:
 def missing_packs(terms: DataFrame, packs: DataFrame) -> DataFrame:
     """Packs that terms name and that are not there; must be empty before a commit."""
     return terms.select("pack").distinct().join(packs.select("pack"), "pack", "left_anti")
-
-
-def first_seen(chunks: DataFrame) -> DataFrame:
-    w = Window.partitionBy("chunk_key").orderBy("file", "chunk_ord")
-    return chunks.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import checked
+
 
 def expand_terms(terms: DataFrame) -> DataFrame:
     """A row for each chunk of each term."""
     return terms.select("*", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("idx")).where("end > start")
 
 
-def plan_ranges(terms: DataFrame, fetches: DataFrame) -> DataFrame:
+def plan_ranges(terms: DataFrame, fetches: DataFrame, partial: bool = False) -> DataFrame:
     """terms: file, term_ord, pack, start, end; fetches: pack, fetch_ord, range_ord, start, end. The
     first range by (fetch, range) that holds each chunk, runs of chunks of one range joined to
     segments: file, term_ord, pack, segment, fetch_ord, range_ord, start, end. Both sides are
-    exploded to chunks, so an equi-join does a range join's work."""
+    exploded to chunks, so an equi-join does a range join's work. A chunk that no range holds fails the
+    job; with partial it has no fetch."""
     e = expand_terms(terms.select("file", "term_ord", "pack", "start", "end")).select("file", "term_ord", "pack", "idx")
     r = expand_terms(fetches.select("pack", "fetch_ord", "range_ord", "start", "end"))
     r = r.groupBy("pack", "idx").agg(F.min(F.struct("fetch_ord", "range_ord")).alias("f"))
-    j = e.join(r, ["pack", "idx"], "left").select("file", "term_ord", "pack", "idx", "f.fetch_ord", "f.range_ord")
+    j = e.join(r, ["pack", "idx"], "left")
+    found = F.col("f") if partial else checked(F.col("f"), F.col("f").isNull(), "a chunk of a term is in no fetched range")
+    j = j.select("file", "term_ord", "pack", "idx", found.alias("f")).select("file", "term_ord", "pack", "idx", "f.fetch_ord", "f.range_ord")
     w = Window.partitionBy("file", "term_ord").orderBy("idx")
     same = (F.lag("fetch_ord").over(w) == F.col("fetch_ord")) & (F.lag("range_ord").over(w) == F.col("range_ord"))
     j = j.withColumn("segment", F.sum(F.when(same, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)

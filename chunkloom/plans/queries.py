@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import gear, hashes, text
 from ..functions.hashes import chunk_hash, file_root, pack_root, verification
-from ..operators import chunking, dedup, packing, reconstruct
-from ..sources import formats, packs, shards
+from ..operators import chunking, dedup, packing, ranges, reconstruct
+from ..sources import assemble, formats, packs, shards
 
 PACK = 262_144
 QUERIES: dict = {}
@@ -491,3 +491,176 @@ def reconstruct_cdc(spark, sf_dir):
     terms = packing.file_terms(packing.placements(slim, packed)).select("file", "term_ord", "pack", "start", "end")
     pieces = reconstruct.expand_terms(terms).join(bodies, ["pack", "idx"]).select("file", F.struct("term_ord", "idx").alias("chunk_ord"), F.col("chunk").alias("piece"))
     return reconstruct.concatenated(pieces).select("file", F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("bytes"))
+
+
+# An upload against what is stored
+
+
+_SHARDS = LINES + """,
+sh as (select list_position(['de', 'en', 'es', 'fr'], lang) - 1 as shard_ord, file as pack, chunk_ord as idx, chunk_key from c join documents on doc_id = file where lang <> 'de'),
+v as (select distinct chunk_key, (instr('0123456789abcdef', substr(chunk_key, 64, 1)) - 1) % 4 as rest from c),
+asked as (select chunk_key from v where rest = 0 and chunk_key not in (select chunk_key from sh where shard_ord = 1))"""
+
+
+def _at_hand(spark, sf_dir):
+    """The shards at hand (English) and those of a service (all; the German one has expired)."""
+    every = _index(spark, sf_dir)
+    return every.where("shard_ord = 1"), every
+
+
+@query(f"with recursive {_SHARDS} select chunk_key from asked")
+def global_queries(spark, sf_dir):
+    """Sampled keys, one in four, that the shards at hand lack."""
+    return dedup.eligible_misses(lines(spark, sf_dir), _at_hand(spark, sf_dir)[0], 4)
+
+
+@query(f"""with recursive {_SHARDS}, near as (select * from sh where shard_ord = 1 or shard_ord in (select shard_ord from sh where chunk_key in (select chunk_key from asked))),
+b as (select *, row_number() over (partition by chunk_key order by shard_ord, pack, idx) as rn from near)
+select b.chunk_key, b.pack, b.idx from b where rn = 1 and chunk_key in (select chunk_key from c)""")
+def known_places(spark, sf_dir):
+    hand, every = _at_hand(spark, sf_dir)
+    return dedup.known_places(lines(spark, sf_dir).select("chunk_key"), hand, every, F.to_timestamp(F.lit(AS_OF)), 4)[0]
+
+
+@query(f"with recursive {TERMS} select distinct pack from t where pack % 2 = 1")
+def missing_packs(spark, sf_dir):
+    """Packs that terms name, where the odd ones were not sent."""
+    return dedup.missing_packs(line_terms(spark, sf_dir), packed_lines(spark, sf_dir)[1].where("pack % 2 = 0"))
+
+
+# Shards from tables
+
+
+def _assembled(spark, sf_dir) -> DataFrame:
+    """Four batches of files, and packs, each a shard."""
+    digest = lambda *parts: F.sha2(F.concat(*parts).cast("binary"), 256)
+    c, packed = packed_lines(spark, sf_dir)
+    sha = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    t = line_terms(spark, sf_dir).join(sha, "file")
+    t = t.select((F.col("file") % 4).alias("batch"), digest(F.col("file").cast("string")).alias("file_hash"), "sha256", "term_ord", digest(F.lit("pack"), F.col("pack").cast("string")).alias("pack"), "unpacked_length", "start", "end", digest(F.lit("v"), F.col("term_ord").cast("string")).alias("verification"))
+    p = packing.pack_listing(packed).withColumn("batch", F.col("pack") % 4)
+    p = p.select("batch", digest(F.lit("pack"), F.col("pack").cast("string")).alias("pack"), "idx", F.col("chunk_key").alias("chunk_hash"), "byte_range_start", "length", (F.col("pack") + 7).alias("disk_bytes"))
+    parts = [t.where(F.col("batch") < 2), t.where(F.col("batch") >= 2)]
+    return assemble.write_shards(parts[0].unionByName(parts[1]), p, 5, 9)
+
+
+@query(f"""with recursive {TERMS} select 'batch-' || (file % 4) as path, sha256(file::varchar) as file_hash, sha256(text) as sha256, term_ord::int as term_ord, sha256('pack' || pack) as pack, unpacked_length, "start", "end", sha256('v' || term_ord) as verification
+from t join documents on doc_id = file""")
+def assembled_terms(spark, sf_dir):
+    return shards.read_shards(_assembled(spark, sf_dir), "terms")
+
+
+@query(f"""with recursive {PACKED}, q as (select *, (sum(length) over (partition by pack order by idx) - length)::bigint as byte_range_start, (sum(length) over (partition by pack))::bigint as raw_bytes from k)
+select 'batch-' || (pack % 4) as path, sha256('pack' || pack) as pack, raw_bytes, pack + 7 as disk_bytes, idx::int as idx, chunk_key as chunk_hash, byte_range_start, length from q""")
+def assembled_chunks(spark, sf_dir):
+    return shards.read_shards(_assembled(spark, sf_dir), "chunks")
+
+
+@query(f"""with recursive {TERMS}, a as (select file % 4 as b, sum(unpacked_length) as m from t group by 1), d as (select pack % 4 as b, sum(length) as s from k group by 1), e as (select pack % 4 as b, sum(distinct pack + 7) as n from k group by 1)
+select 'batch-' || coalesce(a.b, d.b) as path, '{hashes.ZERO}' as hmac_key, 5::bigint as created, 9::bigint as expires, coalesce(n, 0)::bigint as disk_bytes, coalesce(m, 0)::bigint as materialized_bytes, coalesce(s, 0)::bigint as stored_bytes
+from a full join d on a.b = d.b left join e on e.b = coalesce(a.b, d.b)""")
+def assembled_footers(spark, sf_dir):
+    return shards.read_shards(_assembled(spark, sf_dir), "footers")
+
+
+# Ranges of packs
+
+
+def _built(spark, sf_dir) -> DataFrame:
+    _, packed = packed_lines(spark, sf_dir)
+    return packs.build_packs(packed.join(lines(spark, sf_dir).select("file", "chunk_ord", F.col("chunk").cast("binary").alias("chunk")), ["file", "chunk_ord"]))
+
+
+@query(f"with recursive {PACKED} select pack, idx::int as idx, length as raw from k")
+def pack_headers(spark, sf_dir):
+    """Headers alone: payloads are skipped."""
+    return packs.explode_packs(_built(spark, sf_dir), decode=False).select("pack", "idx", "raw")
+
+
+@query(f"with recursive {PACKED} select pack, idx, chunk_key, length as raw from k where idx between 2 and 5 and pack in (select pack from k where idx = 5)")
+def pack_ranges(spark, sf_dir):
+    """Chunks 2 to 5 of each pack, cut out of its bytes and read as a range."""
+    built = _built(spark, sf_dir)
+    at = packs.explode_packs(built, decode=False).where("idx between 2 and 5")
+    span = at.groupBy("pack").agg(F.min("offset").alias("a"), F.max(F.col("offset") + packs.HEADER + F.col("stored")).alias("b"), F.count("*").alias("n")).where("n = 4")
+    cut = built.join(span, "pack").select("pack", F.lit(2).cast("long").alias("first"), F.lit(4).cast("long").alias("count"), F.substr("data", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("data"))
+    return packs.range_chunks(cut).select("pack", "idx", F.sha2("chunk", 256).alias("chunk_key"), "raw")
+
+
+# Plans, answers and requests
+
+
+@query(f"with recursive {TERMS} select file, sum(unpacked_length)::bigint as unpacked, (sum(unpacked_length) - file % 3)::bigint as content from t group by file")
+def content_lengths(spark, sf_dir):
+    return ranges.content_lengths(line_terms(spark, sf_dir).withColumn("offset", F.col("file") % 3))
+
+
+@query("""select doc_id as file, doc_id % 3 as "offset", unnest([0, 1])::int as term_ord, unnest([source || 'a', source || 'b']) as pack, unnest([n_chars + 1, 7])::bigint as unpacked_length, unnest([0, 2])::bigint as "start", unnest([doc_id + 1, 3])::bigint as "end" from documents""")
+def plan_terms(spark, sf_dir):
+    """Plans of both versions, by turns, written as JSON and read."""
+    return formats.plan_terms(_plans(spark, sf_dir))
+
+
+@query("""select doc_id as file, source || 'a' as pack, 0::int as fetch_ord, 0::int as range_ord, 'https://h/' || doc_id as url, 0::bigint as "start", doc_id + 1 as "end", 5::bigint as first_byte, n_chars::bigint + 5 as last_byte from documents""")
+def plan_fetches(spark, sf_dir):
+    return formats.plan_fetches(_plans(spark, sf_dir))
+
+
+def _plans(spark, sf_dir) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    whole, last = span(F.lit(0), F.col("doc_id") + 1), span(F.lit(5), F.col("n_chars") + 5)
+    url = F.concat(F.lit("https://h/"), F.col("doc_id"))
+    terms = F.array(F.struct(F.concat("source", F.lit("a")).alias("hash"), (F.col("n_chars") + 1).alias("unpacked_length"), whole.alias("range")), F.struct(F.concat("source", F.lit("b")).alias("hash"), F.lit(7).cast(d.schema["n_chars"].dataType).alias("unpacked_length"), span(F.lit(2), F.lit(3).cast("long")).alias("range")))
+    pack = F.concat("source", F.lit("a"))
+    new = F.to_json(F.struct((F.col("doc_id") % 3).alias("offset_into_first_range"), terms.alias("terms"), F.create_map(pack, F.array(F.struct(url.alias("url"), F.array(F.struct(whole.alias("chunks"), last.alias("bytes"))).alias("ranges")))).alias("xorbs")))
+    old = F.to_json(F.struct((F.col("doc_id") % 3).alias("offset_into_first_range"), terms.alias("terms"), F.create_map(pack, F.array(F.struct(whole.alias("range"), url.alias("url"), last.alias("url_range")))).alias("fetch_info")))
+    return d.select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 2 == 0, new).otherwise(old).alias("json")).select("file", formats.plan(F.col("json")).alias("plan"))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("fetch"), (F.col("doc_id") % 10).alias("range_ord"), (F.col("doc_id") * 100).alias("first_byte"), (F.col("doc_id") * 100 + F.col("n_chars") % 50).alias("last_byte"))
+
+
+@query("""select doc_id // 10 as fetch, count(*)::bigint as ranges, sum(n_chars % 50 + 1)::bigint as bytes from documents group by 1""")
+def fetch_byte_counts(spark, sf_dir):
+    g = ranges.fetch_bytes(_asked(spark, sf_dir).withColumns({"file": F.lit(0), "pack": F.lit("p"), "fetch_ord": F.col("fetch")}))
+    return g.select(F.col("fetch_ord").alias("fetch"), "ranges", "bytes")
+
+
+@query("select doc_id // 10 as fetch, doc_id % 10 as range_ord, doc_id * 100 as first_byte, (doc_id * 100 + n_chars % 50)::bigint as last_byte from documents where doc_id % 4 = 0")
+def unanswered_ranges(spark, sf_dir):
+    """Ranges that a multipart answer lacks; the others' parts are written as one body a fetch and read."""
+    asked = _asked(spark, sf_dir)
+    some = asked.where((F.col("fetch") * 10 + F.col("range_ord")) % 4 != 0)
+    part = F.concat(F.lit("--b\r\nContent-Range: bytes "), "first_byte", F.lit("-"), "last_byte", F.lit("/*\r\n\r\n"), F.repeat(F.lit("x"), (F.col("last_byte") - F.col("first_byte") + 1).cast("int")), F.lit("\r\n"))
+    bodies = some.groupBy("fetch").agg(F.concat(F.array_join(F.collect_list(part), ""), F.lit("--b--")).cast("binary").alias("body")).withColumn("boundary", F.lit("b"))
+    parts = formats.multipart_parts(bodies)
+    return ranges.unanswered(asked, parts).select("fetch", "range_ord", "first_byte", "last_byte")
+
+
+@query("select doc_id, sha256(text) as hash, strlen(text)::bigint as length from documents")
+def chunk_listing(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    line = F.concat_ws(" ", F.sha2(F.col("text").cast("binary"), 256), F.octet_length("text").cast("string"))
+    return d.select("doc_id", formats.listing(line).alias("l")).select("doc_id", "l.*")
+
+
+@query("""select doc_id, case when doc_id % 5 = 0 then 'negative offset' when doc_id % 5 = 1 then 'negative length' when doc_id % 5 = 2 then 'end beyond 64 bits' when doc_id % 5 = 3 then 'length needed for a file of unknown size' end as error from documents""")
+def request_errors(spark, sf_dir):
+    kind = F.col("doc_id") % 5
+    offset = F.when(kind == 0, -1).when(kind == 2, ranges.LONG_MAX).otherwise(10).cast("long")
+    length = F.when(kind == 1, -5).when(kind == 3, None).otherwise(9).cast("long")
+    size = F.when(kind == 3, None).otherwise(F.col("n_chars")).cast("long")
+    return read(spark, sf_dir, "documents").select("doc_id", ranges.request_error(offset, length, size).alias("error"))
+
+
+@query("""select page_id, (400 + page_id % 120) in (408, 429, 500, 502, 503, 504) as retry, least(0.5::double * pow(2, page_id % 12), 20.0::double) * 0.25::double as wait, case when page_id % 5 > 0 then page_id % 5 * 1000 end as expires, (page_id % 5 * 1000)::bigint as stored,
+  (page_id % 256 + 256 * (page_id % 7) + 65536 * (page_id % 3))::int as u24, page_id between 10 and 19 as held, page_id % 4 = 0 as bad_range from pages""")
+def protocol_scalars(spark, sf_dir):
+    """Retries and waits, times that are 0 where there are none, three-byte numbers, range rules."""
+    i = F.col("page_id")
+    when = text.unix_or_null(i % 5 * 1000)
+    raw = F.unhex(F.concat(*[F.lpad(F.hex(x), 2, "0") for x in (i % 256, i % 7, i % 3)]))
+    bad = ranges.invalid_chunk_range(F.when(i % 4 == 0, i + 1).otherwise(0), i) | ranges.invalid_byte_range(F.when(i % 4 == 0, -1).otherwise(0), i)
+    return read(spark, sf_dir, "pages").select("page_id", text.is_retryable(400 + i % 120).alias("retry"), text.backoff(i % 12 + 1, F.lit(0.5), F.lit(20.0), F.lit(0.25)).alias("wait"), F.unix_timestamp(when).alias("expires"), text.null_to_zero(when).alias("stored"), text.u24(raw, 1).alias("u24"), ranges.holds(F.lit(10), F.lit(20), i).alias("held"), bad.alias("bad_range"))

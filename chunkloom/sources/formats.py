@@ -70,9 +70,27 @@ def multipart(body: bytes, boundary: str) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def multipart_parts(bodies: DataFrame) -> DataFrame:
+    """bodies: fetch, boundary, body -> fetch, part_ord, first_byte, last_byte, data."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                parts = multipart(b.column(2)[i].as_py(), b.column(1)[i].as_py())
+                if parts:
+                    cols = [range(len(parts)), *zip(*parts)]
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(parts), b.column(0).type), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["fetch", "part_ord", "first_byte", "last_byte", "data"])
+
+    kind = bodies.schema["fetch"].dataType.simpleString()
+    return bodies.select("fetch", "boundary", "body").mapInArrow(run, f"fetch {kind}, part_ord int, first_byte long, last_byte long, data binary")
+
+
 def commit_lines(files: DataFrame, summary: str, description: str = "", parent: str | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """files: path, sha256, size. One row, payload: the header's line, then files and deletions by
-    path."""
+    path. The payload is one text of some 150 bytes a file, so it holds a few million files at most."""
     from pyspark.sql import SparkSession
 
     spark: SparkSession = files.sparkSession

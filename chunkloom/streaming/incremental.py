@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import gear
@@ -54,9 +55,9 @@ def chunk_stream(blocks: DataFrame, target: int = gear.TARGET, table=None) -> Da
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, ordinal, offset = state.get if state.exists else (b"", 0, 0)
         chunker, rows, done = Chunker(target, table, bytes(held)), [], False
-        for _, r in pd.concat(list(pdfs)).sort_values("seq").iterrows():
-            done = bool(r["final"])
-            for c in chunker.feed(bytes(r["data"] or b""), done):
+        for r in pd.concat(list(pdfs)).sort_values("seq").itertuples():
+            done = bool(r.final)
+            for c in chunker.feed(bytes(r.data or b""), done):
                 rows.append((key[0], ordinal, offset, len(c), hashlib.sha256(c).hexdigest()))
                 ordinal, offset = ordinal + 1, offset + len(c)
         if done:
@@ -68,23 +69,28 @@ def chunk_stream(blocks: DataFrame, target: int = gear.TARGET, table=None) -> Da
     return blocks.groupBy("file").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def first_seen_stream(chunks: DataFrame) -> DataFrame:
-    """Chunks of a stream not seen before in it; keys are the state."""
-    return chunks.dropDuplicates(["chunk_key"])
+def block_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of a folder's files as they arrive, for chunk_stream: each file is one final block."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(schema).format("binaryFile").load(path)
+    return files.select(F.col("path").alias("file"), F.lit(0).alias("seq"), F.col("content").alias("data"), F.lit(True).alias("final"))
+
+
+def first_seen_stream(chunks: DataFrame, time: str, within: str) -> DataFrame:
+    """Chunks of a stream whose key was not seen before in it. A key's state goes when the watermark has
+    passed it by ``within``, so state is bounded by what arrives in that time; a key that comes again
+    later is new again, as an answer that has expired."""
+    return chunks.withWatermark(time, within).dropDuplicatesWithinWatermark(["chunk_key"])
 
 
 def merge_new(chunks: DataFrame, index_path: str) -> int:
     """For foreachBatch: appends first occurrences that the index at index_path lacks; returns how
-    many. A repeated batch adds nothing."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.utils import AnalysisException
-
+    many. A repeated batch adds nothing; an index that can't be read raises."""
+    spark = chunks.sparkSession
     first = chunks.groupBy("chunk_key").agg(F.min(F.struct("file", "chunk_ord", "length")).alias("f")).select("chunk_key", "f.*")
-    try:
-        known = chunks.sparkSession.read.parquet(index_path).select("chunk_key")
-        first = first.join(known, "chunk_key", "left_anti")
-    except AnalysisException:
-        pass
+    p = spark._jvm.org.apache.hadoop.fs.Path(index_path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        first = first.join(spark.read.parquet(index_path).select("chunk_key"), "chunk_key", "left_anti")
     first = first.persist()
     n = first.count()
     if n:

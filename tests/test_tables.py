@@ -1,12 +1,14 @@
+import hashlib
+
 import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
 from chunkloom.functions import text
-from chunkloom.operators import reconstruct
+from chunkloom.operators import ranges, reconstruct
 from chunkloom.plans import client
 from chunkloom.plans import queries as Q
-from chunkloom.sources import formats
+from chunkloom.sources import assemble, formats, shards
 from chunkloom.streaming import incremental
 
 from .test_chunks import TABLE
@@ -20,7 +22,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["first_occurrence", "dedup_stats_by_source", "file_terms", "range_plan", "shard_search", "reconstruct_text", "text_formats", "range_normalized"])
+@pytest.mark.parametrize("name", ["first_occurrence", "dedup_stats_by_source", "file_terms", "range_plan", "shard_search", "reconstruct_text", "text_formats", "range_normalized", "term_digest", "known_places", "assembled_terms", "assembled_footers", "pack_ranges", "plan_terms", "unanswered_ranges", "protocol_scalars", "file_terms_cdc"])
 def test_against_sql(spark, name):
     import duckdb
 
@@ -46,8 +48,104 @@ def test_upload_and_download(spark):
     assert client.verify(client.download(up.terms, up.packs), up.files).count() == 0
     stats = {r["file"]: r for r in up.stats.collect()}
     assert stats["a"]["dedup_bytes"] == 0 and stats["b"]["dedup_bytes"] > 20_000
+    totals = up.totals.first()
+    assert totals["packs"] == up.packs.count() and totals["uploaded_bytes"] == up.packs.agg(F.sum("disk_bytes")).first()[0] and totals["dedup_bytes"] == stats["b"]["dedup_bytes"]
     with pytest.raises(ValueError):
         client.upload(files.unionByName(files), table=TABLE)
+    broken = up.terms.withColumn("unpacked_length", F.col("unpacked_length") + 1)
+    with pytest.raises(client.VerificationError):
+        client.download(broken, up.packs)
+
+
+def test_upload_against_what_is_stored(spark, tmp_path):
+    data, store = stream(30_000), str(tmp_path / "store")
+    files = lambda *rows: spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "path string, content binary")
+    one = client.upload(files(("a", data[:20_000])), target=1024, max_bytes=8192, table=TABLE)
+    shard = spark.createDataFrame(client.commit(one, store).collect())
+    n = assemble.stored_packs(spark, store).count()
+    assert n == one.packs.count() and client.commit(one, store).count() == 1 and assemble.stored_packs(spark, store).count() == n
+    held = spark.createDataFrame(shards.read_shards(shard, "chunks").collect())
+    index = lambda expires: held.select(F.lit(0).cast("long").alias("shard_ord"), "pack", F.col("idx").cast("long").alias("idx"), F.col("chunk_hash").alias("chunk_key"), F.to_timestamp(F.lit(expires)).alias("expires_at"))
+    more = files(("b", data), ("c", data[:20_000]))
+    opts = {"target": 1024, "max_bytes": 8192, "table": TABLE, "as_of": "2024-01-01 00:00:00"}
+    two = client.upload(more, index=index("2024-01-01 00:00:01"), **opts)
+    stats = {r["file"]: r for r in two.stats.collect()}
+    assert stats["b"]["dedup_bytes"] > 17_000 and stats["c"]["dedup_bytes"] == 20_000
+    known = held.select("pack").distinct()
+    with pytest.raises(client.VerificationError):
+        client.commit(two, str(tmp_path / "elsewhere"))
+    client.commit(two, str(tmp_path / "elsewhere"), known)
+    client.commit(two, store)
+    back = {r["file"]: bytes(r["content"]) for r in client.download(two.terms, assemble.stored_packs(spark, store, two.terms.withColumnRenamed("pack", "pack_hash"))).collect()}
+    assert back == {"b": data, "c": data[:20_000]} and client.verify(client.download(two.terms, assemble.stored_packs(spark, store)), two.files).count() == 0
+    # an expired shard counts no more; sampled keys are asked of the service, and bring its whole shard
+    old = client.upload(more, index=index("2024-01-01 00:00:00"), **opts)
+    assert {r["file"]: r["dedup_bytes"] for r in old.stats.collect()}["b"] < 1000
+    asked = client.upload(more, stored=index("2024-01-01 00:00:01"), rate=1, **opts)
+    assert {r["file"]: r["dedup_bytes"] for r in asked.stats.collect()}["c"] == 20_000 and asked.totals.first()["queries"] > 15
+    foot = shards.read_shards(shard, "footers").first()
+    assert (foot["materialized_bytes"], foot["stored_bytes"], foot["disk_bytes"]) == (20_000, 20_000, one.packs.agg(F.sum("disk_bytes")).first()[0])
+    terms = shards.read_shards(client.shard_of(one), "terms").collect()
+    for up in (one, two, old, asked):
+        up.release()
+    assert all(t["verification"] for t in terms) and len({t["file_hash"] for t in terms}) == 1 and terms[0]["sha256"] == hashlib.sha256(data[:20_000]).hexdigest()
+
+
+def test_no_plan_meets_in_one_task(spark):
+    """Packing sends one task arrays of lengths alone; terms and files are matched by more than the file."""
+    plan = Q.QUERIES["pack_assignment"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    single = [x for x in plan.split("\n") if "SinglePartition" in x]
+    assert len(single) == 1 and "FlatMapGroupsIn" not in plan
+    for name in ("term_verification", "term_digest"):
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "first_chunk" not in plan and ">=" not in "".join(x for x in plan.split("\n") if "Join" in x)
+
+
+def test_shard_source(spark, tmp_path):
+    from .test_chunks import some_shard
+
+    (tmp_path / "s").write_bytes(shards.write_shard(some_shard()))
+    spark.dataSource.register(shards.ShardSource)
+    read = lambda part: spark.read.format("shard").option("part", part).load(str(tmp_path / "s")).collect()
+    assert [len(read(p)) for p in ("terms", "chunks", "footers")] == [3, 3, 1]
+    by = spark.read.format("binaryFile").load(str(tmp_path / "s")).select("path", "content")
+    assert [r[1:] for r in map(tuple, shards.read_shards(by, "chunks").collect())] == [r[1:] for r in map(tuple, read("chunks"))]
+
+
+def test_ranges(spark):
+    r = spark.createDataFrame([(1, 0, 0, 9), (1, 1, 20, 29), (2, 0, 0, 4)], "fetch long, range_ord long, first_byte long, last_byte long")
+    p = spark.createDataFrame([(1, 20, 29, b"x" * 10), (1, 0, 9, b"y" * 10), (3, 0, 0, b"z")], "fetch long, first_byte long, last_byte long, data binary")
+    got = {(x["fetch"], x["range_ord"]): x["data"] and bytes(x["data"][:1]) for x in ranges.match_parts(r, p).collect()}
+    assert got == {(1, 0): b"y", (1, 1): b"x", (2, 0): None}
+    assert [tuple(x) for x in ranges.unanswered(r, p).select("fetch", "range_ord").collect()] == [(2, 0)]
+    assert sorted(map(tuple, ranges.miscounted(r, p).collect())) == [(2, 1, 0), (3, 0, 1)]
+    terms = spark.createDataFrame([("f", 0, "p", 0, 3)], "file string, term_ord int, pack string, start long, end long")
+    fetches = spark.createDataFrame([("p", 0, 0, 0, 2)], "pack string, fetch_ord int, range_ord int, start long, end long")
+    assert reconstruct.plan_ranges(terms, fetches, partial=True).count() == 2
+    with pytest.raises(Exception, match="no fetched range"):
+        reconstruct.plan_ranges(terms, fetches).collect()
+
+
+def test_first_seen_is_bounded(spark, tmp_path):
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    for i, rows in enumerate([[("k", 0), ("k", 1), ("l", 1)], [("k", 2), ("m", 59)], [("k", 59)]]):
+        spark.createDataFrame([(k, at(m)) for k, m in rows], "chunk_key string, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
+    c = spark.readStream.schema("chunk_key string, t string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")).withColumn("t", F.to_timestamp("t"))
+    q = incremental.first_seen_stream(c, "t", "10 minutes").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(r["chunk_key"] for r in spark.sql("select * from seen").collect())
+    # the second k lies within ten minutes of the first; the last one came long after
+    assert got in (["k", "k", "l", "m"], ["k", "l", "m"]) and set(got) == {"k", "l", "m"}
+
+
+def test_files_as_blocks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x").write_bytes(stream(9000))
+    q = incremental.chunk_stream(incremental.block_stream(spark, str(tmp_path / "in")), 1024, TABLE).writeStream.format("memory").queryName("blocks").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.sql("select sum(length) as n from blocks").first()["n"] == 9000
 
 
 def test_plans_of_both_versions(spark):
@@ -83,4 +181,8 @@ def test_streams(spark, tmp_path):
 def test_index_grows_once(spark, tmp_path):
     c = spark.createDataFrame([("a", 0, 1, "k"), ("b", 0, 1, "k"), ("b", 1, 2, "l")], "file string, chunk_ord int, length int, chunk_key string")
     path = str(tmp_path / "index")
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken/part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        incremental.merge_new(c, str(tmp_path / "broken"))
     assert [incremental.merge_new(c, path), incremental.merge_new(c, path)] == [2, 0]
