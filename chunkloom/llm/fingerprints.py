@@ -1,7 +1,7 @@
 """SimHash fingerprints, natively.
 
-Terms are pairs of neighbouring words, weighted by their length; a term's 64-bit hash votes, with
-its weight, for or against each bit of the fingerprint. Votes are counted for two bits in one
+Terms are pairs of neighbouring words, weighted by the first word's length, up to HEAVIEST; a term's
+64-bit hash votes, with its weight, for or against each bit of the fingerprint. Votes are counted for two bits in one
 long: 32 sums of ``weight * (hash >> k & 0x0000000100000001)``, so all stays in generated code. Each
 document's terms are summed where they are made; only sums could ever be shuffled.
 

@@ -419,24 +419,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns node, root (the smallest node that it reaches) for all nodes but roots.
-    Star contraction: each round is a few aggregations and joins over the links alone."""
+    Star contraction: each round is a few aggregations and joins over the links alone, until each
+    node has one root and no root is a node."""
     e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    mark = None
     while True:
+        several = e.groupBy("u").count().where("count > 1").select("u")
+        chained = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+        if not several.union(chained).limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = staged(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).cast("string")).first())
-        if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = now
 
 
 def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """node, root after links joined the components that roots has."""
+    """node, root after links (staged) joined the components that roots has."""
+    if not links.limit(1).count():
+        return roots
     e = links
     for c in ("a", "b"):
         e = e.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
@@ -603,12 +605,13 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
         likely = staged(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "proposed")
         tested = likely if tested is None else tested.union(likely)
         found = _verified(likely, sets, "round")
-        new = found.count()
-        if new:
-            roots = _grown(roots, found)
-        if not new or turn == TURNS:
+        if not found.limit(1).count():
+            break
+        roots = _grown(roots, found)
+        if turn == TURNS:
+            mixed = _mixed(mixed, roots)
             break
-    more = _verified(_tree_pairs(_mixed(mixed, roots), sets, tested), sets, "tree")
+    more = _verified(_tree_pairs(mixed, sets, tested), sets, "tree")
     roots = _grown(roots, more)
     by_class = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     by_class = by_class.withColumn("root", F.coalesce("root", "class"))

@@ -74,8 +74,36 @@ def _tail(k: int, n: int, p: float) -> float:
     return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """rows: text, label 0 or 1."""
+def objective(theta: np.ndarray, labels: np.ndarray, doc: np.ndarray, inst: np.ndarray, word: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean log loss of documents' noisy-or scores, with a pull of weights to 0, and its gradient. theta: a weight
+    for each word, the bias, the leak's log odds; doc: the document of each sentence; inst, word: the
+    words of each sentence."""
+    n, m = len(labels), len(theta) - 2
+    z = theta[m] + np.bincount(inst, theta[:m][word], len(doc)) if len(doc) else np.zeros(0)
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    leak = 1 / (1 + math.exp(-theta[m + 1]))
+    clean = np.log1p(-leak) + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n)
+    score = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
+    loss = -float(np.where(labels > 0, np.log(score), np.log1p(-score)).mean()) + DECAY / (2 * n) * float((theta[:m] ** 2).sum())
+    # d loss / d log(1 - score), by document; d log(1 - p) / dz = -p
+    pull = np.where(labels > 0, (1 - score) / score, -1.0) / n
+    back = -pull[doc] * p if len(doc) else np.zeros(0)
+    return loss, np.concatenate([np.bincount(word, back[inst], m) + DECAY * theta[:m] / n, [back.sum(), -pull.sum() * leak]])
+
+
+def descend(theta: np.ndarray, *data: np.ndarray) -> np.ndarray:
+    g1, g2 = np.zeros(len(theta)), np.zeros(len(theta))
+    for step in range(1, STEPS + 1):
+        _, grad = objective(theta, *data)
+        g1, g2 = 0.9 * g1 + 0.1 * grad, 0.999 * g2 + 0.001 * grad**2
+        theta = theta - RATE * (g1 / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
+def fit(rows: list[tuple[str, int]], max_words: int = MAX_WORDS) -> Model:
+    """rows: text, label 0 or 1. Of the words that toxic documents hold more often than chance allows, the
+    max_words most significant ones get weights; where some end at 0 or below, they go and the model is
+    fitted again without them, so the one that scores is one that was fitted."""
     labels = np.array([y for _, y in rows], float)
     rate = float(labels.mean()) if len(rows) else 0.0
     if not 0 < rate < 1:
@@ -88,7 +116,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
             toxic.update(words)
     bar = -math.log(20.0 * max(1, len(held)))
     found = sorted((_tail(k, held[w], rate), w) for w, k in toxic.items() if k >= 3)
-    names = [w for t, w in found if t < bar][:MAX_WORDS]
+    names = [w for t, w in found if t < bar][:max_words]
     place = {w: i for i, w in enumerate(names)}
     # one instance for each sentence with a known word
     doc, inst, word = [], [], []
@@ -101,23 +129,18 @@ def fit(rows: list[tuple[str, int]]) -> Model:
                 inst += [len(doc)] * len(known)
                 doc.append(d)
     doc, inst, word = (np.array(x, np.int64) for x in (doc, inst, word))
-    n, m = len(rows), len(names)
-    w = np.array([min(4.0, math.log((toxic[x] + 0.5) / (held[x] - toxic[x] + 0.5)) - math.log(rate / (1 - rate))) for x in names])
-    theta = np.concatenate([w, [-1.0, math.log(0.02 / 0.98)]])
-    g1, g2 = np.zeros(m + 2), np.zeros(m + 2)
-    for step in range(1, STEPS + 1):
-        z = theta[m] + np.bincount(inst, theta[:m][word], len(doc)) if len(doc) else np.zeros(0)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        leak = 1 / (1 + math.exp(-theta[m + 1]))
-        clean = np.log1p(-leak) + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n)
-        score = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-9)
-        # d loss / d log(1 - score), by document; d log(1 - p) / dz = -p
-        pull = np.where(labels > 0, (1 - score) / score, -1.0) / n
-        back = -pull[doc] * p if len(doc) else np.zeros(0)
-        grad = np.concatenate([np.bincount(word, back[inst], m) + DECAY * theta[:m] / n, [back.sum(), -pull.sum() * leak]])
-        g1, g2 = 0.9 * g1 + 0.1 * grad, 0.999 * g2 + 0.001 * grad**2
-        theta = theta - RATE * (g1 / (1 - 0.9**step)) / (np.sqrt(g2 / (1 - 0.999**step)) + 1e-8)
-    return Model({x: float(v) for x, v in zip(names, theta) if v > 0}, float(theta[m]), float(1 / (1 + math.exp(-theta[m + 1]))))
+    weights = np.array([min(4.0, math.log((toxic[x] + 0.5) / (held[x] - toxic[x] + 0.5)) - math.log(rate / (1 - rate))) for x in names])
+    while True:
+        theta = descend(np.concatenate([weights, [-1.0, math.log(0.02 / 0.98)]]), labels, doc, inst, word)
+        m = len(names)
+        good = theta[:m] > 0
+        if good.all():
+            return Model({x: float(v) for x, v in zip(names, theta)}, float(theta[m]), float(1 / (1 + math.exp(-theta[m + 1]))))
+        # without these words: their places in sentences go, and sentences that have no other word
+        names, weights = [x for x, g in zip(names, good) if g], weights[good]
+        inst, word = inst[good[word]], (np.cumsum(good) - 1)[word[good[word]]]
+        left, inst = np.unique(inst, return_inverse=True)
+        doc = doc[left]
 
 
 def held_out(c: str = "doc_id"):

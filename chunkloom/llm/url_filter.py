@@ -99,8 +99,12 @@ def build_cascade(universe: DataFrame, listed: DataFrame, keys_per_shard: int =
     the driver gets the filters' words only, some ten bits a listed key in all."""
     listed = listed.select("key").where("key is not null").distinct()
     shards = max(1, -(-listed.count() // keys_per_shard))
-    place = F.udf(lambda k: _shard(k, shards), "int") if shards > 1 else None
-    mark = lambda df: df.withColumn("shard", place("key") if place else F.lit(0))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_shard(k, shards) for k in b.column(0).to_pylist()], pa.int32())], ["key", "shard"])
+
+    mark = lambda df: df.mapInArrow(placed, "key string, shard int")
     include = staged(mark(listed), "cascade-in")
     exclude = staged(mark(universe.select("key").where("key is not null").distinct().join(listed, "key", "left_anti")), "cascade-out")
     built: list[list[tuple[int, bytes]]] = [[] for _ in range(shards)]

@@ -391,6 +391,32 @@ def test_fingerprints(spark, odd):
     assert {g[6] for g in fingerprints.edited_fingerprints(odd.where("doc_id = 7")).collect()} == {1.0}
 
 
+def plain_simhash(text):
+    import xxhash
+
+    words = [w for w in re.split("[\t\n\x0b\x0c\r ]", text) if w]
+    h = lambda *ws: functools.reduce(lambda seed, w: xxhash.xxh64_intdigest(w.encode(), seed), ws, 42)
+    terms = [(h(a, b), min(12, len(a))) for a, b in zip(words, words[1:])] if len(words) > 1 else [(h(" ".join(words)), 1)]
+    return sum(1 << k for k in range(64) if 2 * sum(w for x, w in terms if x >> k & 1) > sum(w for _, w in terms))
+
+
+def test_fingerprints_against_plain_simhash(spark):
+    r = random.Random(12)
+    base = [f"word{r.randrange(300)}" + "é" * r.randrange(3) for _ in range(200)]
+    texts = [(i, " ".join(base[: r.randrange(2, 200)] if i % 2 else r.sample(base, 30))) for i in range(0, 400, 10)] + [(200, "same"), (200, "same"), (None, "x"), (5, None), (7, "a  b\tc")]
+    rows = sorted(((i, t or "") for i, t in texts), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    prints = [plain_simhash(t) for _, t in rows]
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    want = []
+    for k, (i, t) in enumerate(rows):
+        nxt, cut = rows[(k + 1) % len(rows)][1], len(t) // 3
+        edited = plain_simhash(t[: len(t) - cut] + nxt[:cut])
+        near = sum((p ^ prints[k]).bit_count() <= 3 for p in prints) - 1 if i is not None and i % 100 == 0 else None
+        want.append((i, f"{prints[k]:016x}", f"{edited:016x}", like(prints[k], edited), like(prints[k], prints[(k + 1) % len(rows)]), near))
+    got = fingerprints.edited_fingerprints(docs_of(spark, texts)).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_docs").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_near_fingerprints(spark):
     r = random.Random(3)
     fps = [r.getrandbits(64) for _ in range(200)]
@@ -602,6 +628,48 @@ def test_toxicity(spark, odd):
     assert toxicity.held_out_scores(odd.limit(0), l).count() == 0
 
 
+def test_scores_are_noisy_or():
+    model = toxicity.Model({"vile": 2.0, "nasty": 1.0}, -1.5, 0.01)
+    text = "A vile nasty thing. Nothing here! vile|  nasty nasty\nquiet"
+    p = lambda *w: 1 / (1 + np.exp(1.5 - sum(w)))
+    score, start, end, worst = model.score(text)
+    assert abs(score - (1 - 0.99 * (1 - p(2, 1)) * (1 - p(2)) * (1 - p(1)))) < 1e-12
+    assert text[start:end] == "A vile nasty thing" and abs(worst - p(2, 1)) < 1e-12
+    assert model.score("quiet") == (0.01, None, None, None) and model.score("")[0] == 0.01
+
+
+def test_toxicity_gradient():
+    r = np.random.default_rng(5)
+    labels, doc = np.array([1, 0, 1, 0, 0], float), np.array([0, 0, 1, 2, 3, 3])
+    inst, word = np.array([0, 0, 1, 2, 3, 4, 5, 5]), np.array([0, 1, 2, 0, 1, 2, 0, 2])
+    theta = r.normal(size=5)
+    _, grad = toxicity.objective(theta, labels, doc, inst, word)
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        up, down = (toxicity.objective(theta + s, labels, doc, inst, word)[0] for s in (step, -step))
+        assert abs((up - down) / 2e-6 - grad[i]) < 1e-6
+    # plain: score by score
+    loss = 0.0
+    leak = 1 / (1 + np.exp(-theta[4]))
+    for d, y in enumerate(labels):
+        clean = 1 - leak
+        for k in np.flatnonzero(doc == d):
+            clean *= 1 - 1 / (1 + np.exp(-theta[3] - theta[:3][word[inst == k]].sum()))
+        loss -= np.log(1 - clean if y else clean) / 5
+    assert abs(loss + toxicity.DECAY / 10 * (theta[:3] ** 2).sum() - toxicity.objective(theta, labels, doc, inst, word)[0]) < 1e-9
+
+
+def test_the_model_that_scores_was_fitted():
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        y = int(r.random() < 0.3)
+        rows.append((" ".join([f"w{r.randrange(60)}" for _ in range(6)] + (["vile", "shadow"] if y and r.random() < 0.9 else []) + (["shadow"] if r.random() < 0.1 else [])), y))
+    m = toxicity.fit(rows)
+    assert m.weights and min(m.weights.values()) > 0 and len(toxicity.fit(rows, max_words=1).weights) == 1
+    assert all((m.score(t)[0] >= 0.3) == bool(y) for t, y in rows if "vile" in t)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
