@@ -71,9 +71,9 @@ def trim(placed: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def concatenated(pieces: DataFrame) -> DataFrame:
-    """file, content: pieces in order, joined in one array expression."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("chunk_ord", F.hex("piece").alias("h")))), lambda x: x["h"])
-    return pieces.groupBy("file").agg(F.unhex(F.array_join(parts, "")).alias("content"))
+    """file, content: pieces in order, joined by an ordered aggregate over their bytes. A file becomes one row,
+    so this is for files that fit in one; larger ones are written piece by piece, in order."""
+    return pieces.groupBy("file").agg(F.expr("listagg(piece) within group (order by chunk_ord)").alias("content"))
 
 
 def length_errors(terms: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -528,6 +528,24 @@ def missing_packs(spark, sf_dir):
     return dedup.missing_packs(line_terms(spark, sf_dir), packed_lines(spark, sf_dir)[1].where("pack % 2 = 0"))
 
 
+# Trees
+
+
+@query(f"""with recursive {LINES}, z0 as (select file, chunk_key, row_number() over (partition by file order by chunk_ord) - 1 as i, count(*) over (partition by file) as n from c),
+z as (select file, i, n, (instr('0123456789abcdef', substr(chunk_key, 64, 1)) - 1) % 4 = 0 as hit from z0),
+g as (select file, 0::bigint as group_ord, 0::bigint as "start", (min(i) + 1)::bigint as "end" from z where i = 8 or (i >= 2 and hit) or i = n - 1 group by file
+  union all
+  select g.file, g.group_ord + 1, g."end", (min(z.i) + 1)::bigint from g join z on z.file = g.file and z.i >= g."end"
+  where z.i - g."end" = 8 or (z.i - g."end" >= 2 and hit) or z.i = n - 1 group by g.file, g.group_ord, g."end")
+select file, group_ord, "start", "end" from g""")
+def merkle_groups(spark, sf_dir):
+    """Where each group of the lowest level ends, over the lines' SHA-256 keys."""
+    nodes = packing.ordered(lines(spark, sf_dir).select("file", "chunk_ord", F.col("chunk_key").alias("hash"), "length"))
+    ends = nodes.select("file", hashes.groups_of("nodes").alias("ends"))
+    e = ends.select("file", F.posexplode("ends").alias("group_ord", "end"), "ends")
+    return e.select("file", F.col("group_ord").cast("long").alias("group_ord"), F.coalesce(F.get("ends", F.col("group_ord") - 1), F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
 # Shards from tables
 
 
