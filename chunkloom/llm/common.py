@@ -66,6 +66,14 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, walked: bool = False) -> DataFrame:
+    """df in an eighth of the shuffle's partitions, eight at least, for tables that are small beside what they
+    were made from: else each of many tasks writes a file of a few rows. walked: what makes df is heavy
+    work, so it stays spread out and only its rows are dealt anew."""
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return df.repartition(n) if walked else df.coalesce(n)
+
+
 def trim() -> None:
     """Gives freed memory back to the system, where the C library can."""
     gc.collect()

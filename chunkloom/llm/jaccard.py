@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, once, staged, tidy, trim
+from .common import boxed, few, once, staged, tidy, trim
 from .common import kind_of as _kind
 from .common import small as _small
 
@@ -362,10 +362,10 @@ def _groups(shared: DataFrame, rows: DataFrame) -> DataFrame:
     n = rows.where("n > 0").groupBy("short").agg(F.min("n").alias("n"))
     enough = F.col("count") >= 1 + F.floor(F.col("n") * PERCENT * EXTRA / 10_000)
     able = shared.groupBy("short").count().join(n, "short").where(enough).select("short")
-    lead = staged(shared.where("lead").join(able, "short", "left_semi").select("key", "short"), "leads")
+    lead = staged(few(shared.where("lead").join(able, "short", "left_semi").select("key", "short")), "leads")
     by_key = lead.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("short")).alias("x"), F.bit_xor(F.xxhash64("short", F.lit(1))).alias("y"))
     once = by_key.where("size > 1").groupBy("x", "y", "size").agg(F.min("key").alias("key")).select("key", "size")
-    return staged(lead.join(once, "key"), "groups")
+    return staged(few(lead.join(once, "key")), "groups")
 
 
 def _bloom(ids: DataFrame, c: str, words: int = 1 << 18) -> np.ndarray:
@@ -397,7 +397,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, shorts: DataFrame) -> DataFrame:
 
     found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(tidy(run), "class binary, short long, n long, bits binary, tokens binary")
     # texts that differ in case or spacing may share a set: one row a class
-    return staged(found.join(shorts, "short", "left_semi").dropDuplicates(["class"]), "candidates")
+    return staged(few(found.join(shorts, "short", "left_semi").dropDuplicates(["class"])), "candidates")
 
 
 def _maps(bits: list[bytes]) -> np.ndarray:
@@ -414,14 +414,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
     one = lambda c: sets.select(F.col("class").alias(c), F.col("tokens").alias(f"t{c}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ta", "tb")
-    return staged(both.mapInArrow(tidy(exact), "a binary, b binary"), f"{name}-links")
+    return staged(few(both.mapInArrow(tidy(exact), "a binary, b binary"), walked=True), f"{name}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns node, root (the smallest node that it reaches) for all nodes but roots.
     Star contraction: each round is a few aggregations and joins over the links alone, until each
     node has one root and no root is a node."""
-    e = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
+    e = staged(few(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), "cc")
     while True:
         several = e.groupBy("u").count().where("count > 1").select("u")
         chained = e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
@@ -432,7 +432,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = staged(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "cc")
+        e = staged(few(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()), "cc")
 
 
 def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -444,7 +444,7 @@ def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
         e = e.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(c, F.coalesce(f"root_{c}", c)).drop(f"root_{c}")
     more = components(e)
     old = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return staged(old.union(more), "roots")
+    return staged(few(old.union(more)), "roots")
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -452,7 +452,7 @@ def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     groups, or what an earlier round left: components only grow, so no group comes back."""
     rows = members.select("key", "size", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
     several = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
-    return staged(rows.join(several, "key", "left_semi"), "mixed")
+    return staged(few(rows.join(several, "key", "left_semi")), "mixed")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -502,7 +502,7 @@ def _joined(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     dealt = rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "n", "comp")
-    return staged(dealt.mapInArrow(tidy(walk), "a binary, b binary"), "joined")
+    return staged(few(dealt.mapInArrow(tidy(walk), "a binary, b binary"), walked=True), "joined")
 
 
 def _proposed(mixed: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
@@ -577,7 +577,7 @@ def _tree_pairs(mixed: DataFrame, sets: DataFrame, tested: DataFrame) -> DataFra
             yield made()
 
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "class")
-    return staged(dealt.mapInArrow(tidy(walk), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    return staged(dealt.mapInArrow(tidy(walk), "a binary, b binary").distinct().join(tested, ["a", "b"], "left_anti").transform(few), "pairs")
 
 
 def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
@@ -592,7 +592,7 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     del top, often, counts, order
     trim()
     sets = _sets_of(docs, rows, groups.select("short").distinct())
-    members = staged(groups.join(sets.select("short", "class"), "short").select("key", "size", "class"), "members")
+    members = staged(few(groups.join(sets.select("short", "class"), "short").select("key", "size", "class")), "members")
     # each class is in one chunk, so what is joined are stars
     roots = _joined(members.withColumn("comp", F.col("class")), sets, 0).select(F.col("a").alias("node"), F.col("b").alias("root"))
     mixed, turn, tested = _mixed(members, roots), 0, None
@@ -602,7 +602,7 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
         turn += 1
         mixed = _mixed(mixed, roots)
         likely = _proposed(mixed, sets, turn)
-        likely = staged(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "proposed")
+        likely = staged(few(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti")), "proposed")
         tested = likely if tested is None else tested.union(likely)
         found = _verified(likely, sets, "round")
         if not found.limit(1).count():
