@@ -10,6 +10,10 @@ Layout under the path given: ``dictionary`` (hash, data) and ``blocks``, both Pa
 writes, so a lost executor or a repeated task leaves no half-written file. Blocks' payloads are
 stored as they are.
 
+The dictionary comes from a bounded sample (SAMPLE documents, SAMPLE_CHARS characters of each, which any place
+in them may give); below 64 documents or 128 KiB of their ids, too little to train on, their own bytes
+are the dictionary. It changes the stored bytes alone: every document is written whole.
+
 Defined results: a null text counts as empty, so it holds the end id only; documents are in
 ascending doc_id order, nulls first, equal ids by their text; repeated rows stay; other columns
 are ignored; an empty table gives no blocks and a dictionary without data.
@@ -37,8 +41,8 @@ from .bpe import Pieces
 from .common import new_path, small_batches, tidy
 from .common import small as _small
 
-#: The dictionary is trained on this many documents (the smallest hashes), the start of each, and has
-#: this many bytes at most.
+#: The dictionary is trained on this many documents (the smallest hashes), a stretch from anywhere in each,
+#: and has this many bytes at most.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 512, 20_000, 65_536
 BLOCK_BYTES, BLOCK_DOCS, LEVEL = 1 << 20, 4096, 3
 #: ASCII marks but the apostrophe, which can go with letters.
@@ -164,7 +168,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path:
     # ids alone give the hash that bounds the sample; then only rows within it reach the driver
     h = F.xxhash64("doc_id")
     bound = [r["h"] for r in d.select(h.alias("h")).orderBy("h").limit(SAMPLE).collect()]
-    few = d.where(h <= (bound[-1] if bound else 0)).select(h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    few = d.where(h <= (bound[-1] if bound else 0)).select(h.alias("h"), F.substr("text", place, F.lit(SAMPLE_CHARS)).alias("t")).orderBy("h", "t").limit(SAMPLE)
     pieces = _pieces(text, dtype)
     data = train_dictionary(list(encoded(pieces, pa.array([r["t"] for r in few.collect()], pa.string()))), dictionary_bytes)
     sha = hashlib.sha256(data).hexdigest()

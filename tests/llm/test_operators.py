@@ -2,7 +2,6 @@
 
 import functools
 import hashlib
-import io
 import random
 import re
 import zlib
