@@ -603,6 +603,28 @@ def test_urls(spark):
     assert url_filter.filter_urls(d.limit(0)).count() == 0
 
 
+def test_urls_repeated_long_and_tied(spark):
+    long = "https://" + "a." * 3000 + "spam-farm.example.net/" + "p/" * 20_000 + "?q#f"
+    rows = [(1, long), (1, long), (1, "x://example.org/en/1"), (None, "x://example.org/en/1"), (2, "x://EXAMPLE.org/EN/1"), (3, "x://b.com/fr/de/"), (4, "x://b.com/de/fr/")]
+    d = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, keys string")
+    got = [tuple(r)[:5] for r in url_filter.filter_urls(d).collect()]
+    host = "a." * 3000 + "spam-farm.example.net"
+    want = [(1, host, "/" + "p/" * 20_000, None, "block")] * 2 + [(1, "example.org", "/en/1", "example.org/en/1", "block"), (None, "example.org", "/en/1", "example.org/en/1", "block"), (2, "example.org", "/EN/1", "org/", "allow"), (3, "b.com", "/fr/de/", "com/fr/", "allow"), (4, "b.com", "/de/fr/", "com/de/", "block")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    # of rules that fit equally well the one that blocks decides, however rows are dealt
+    tied = [("block", "a.com", "/x"), ("allow", "a.com", "/x")]
+    for parts in (1, 4):
+        out = url_filter.filter_urls(spark.createDataFrame([(1, "x://a.com/x", "z")] * 4, "page_id long, url string, keys string").repartition(parts), tied).collect()
+        assert [tuple(r)[3:5] for r in out] == [("a.com/x", "block")] * 4
+
+
+def test_long_chats(spark):
+    text = "word [x] &amp; <s> " * 20_000
+    t = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat_format.parse_chats(chat_format.format_chats(t)).first()
+    assert [tuple(x) for x in r["turns"]] == [("user", text), ("assistant", text)] and r["loss_text"] == text
+
+
 def test_toxicity(spark, odd):
     r = random.Random(4)
     word = lambda: f"w{'abcdefghij'[r.randrange(10)]}{'klmnopqrst'[r.randrange(10)]}"
