@@ -102,8 +102,8 @@ def descend(theta: np.ndarray, *data: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, int]], max_words: int = MAX_WORDS) -> Model:
     """rows: text, label 0 or 1. Of the words that toxic documents hold more often than chance allows, the
-    max_words most significant ones get weights; where some end at 0 or below, they go and the model is
-    fitted again without them, so the one that scores is one that was fitted."""
+    max_words most significant ones get weights; all stay, those below 0 too, so the model that scores is
+    the one that was fitted."""
     labels = np.array([y for _, y in rows], float)
     rate = float(labels.mean()) if len(rows) else 0.0
     if not 0 < rate < 1:
@@ -130,17 +130,9 @@ def fit(rows: list[tuple[str, int]], max_words: int = MAX_WORDS) -> Model:
                 doc.append(d)
     doc, inst, word = (np.array(x, np.int64) for x in (doc, inst, word))
     weights = np.array([min(4.0, math.log((toxic[x] + 0.5) / (held[x] - toxic[x] + 0.5)) - math.log(rate / (1 - rate))) for x in names])
-    while True:
-        theta = descend(np.concatenate([weights, [-1.0, math.log(0.02 / 0.98)]]), labels, doc, inst, word)
-        m = len(names)
-        good = theta[:m] > 0
-        if good.all():
-            return Model({x: float(v) for x, v in zip(names, theta)}, float(theta[m]), float(1 / (1 + math.exp(-theta[m + 1]))))
-        # without these words: their places in sentences go, and sentences that have no other word
-        names, weights = [x for x, g in zip(names, good) if g], weights[good]
-        inst, word = inst[good[word]], (np.cumsum(good) - 1)[word[good[word]]]
-        left, inst = np.unique(inst, return_inverse=True)
-        doc = doc[left]
+    theta = descend(np.concatenate([weights, [-1.0, math.log(0.02 / 0.98)]]), labels, doc, inst, word)
+    m = len(names)
+    return Model({x: float(v) for x, v in zip(names, theta)}, float(theta[m]), float(1 / (1 + math.exp(-theta[m + 1]))))
 
 
 def held_out(c: str = "doc_id"):

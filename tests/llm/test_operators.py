@@ -687,8 +687,17 @@ def test_the_model_that_scores_was_fitted():
         y = int(r.random() < 0.3)
         rows.append((" ".join([f"w{r.randrange(60)}" for _ in range(6)] + (["vile", "shadow"] if y and r.random() < 0.9 else []) + (["shadow"] if r.random() < 0.1 else [])), y))
     m = toxicity.fit(rows)
-    assert m.weights and min(m.weights.values()) > 0 and len(toxicity.fit(rows, max_words=1).weights) == 1
+    assert m.weights["vile"] > 0 and len(toxicity.fit(rows, max_words=1).weights) == 1
     assert all((m.score(t)[0] >= 0.3) == bool(y) for t, y in rows if "vile" in t)
+    # its loss is what the objective gives for the scores: nothing was changed after the fit
+    words = sorted(m.weights)
+    theta = np.array([*(m.weights[w] for w in words), m.bias, np.log(m.leak / (1 - m.leak))])
+    doc = [d for d, (t, _) in enumerate(rows) if m.weights.keys() & t.split()]
+    pairs = [(k, words.index(w)) for k, d in enumerate(doc) for w in sorted(m.weights.keys() & rows[d][0].split())]
+    inst, word = (np.array(x, np.int64) for x in zip(*pairs))
+    loss, grad = toxicity.objective(theta, np.array([y for _, y in rows], float), np.array(doc), inst, word)
+    plain = -np.mean([np.log(max(1e-9, s if y else 1 - s)) for s, y in ((m.score(t)[0], y) for t, y in rows)])
+    assert abs(loss - plain - toxicity.DECAY / 800 * (theta[:-2] ** 2).sum()) < 1e-6 and np.abs(grad).max() < 0.01
 
 
 def test_pipeline(spark, tmp_path):
