@@ -79,7 +79,8 @@ def upload(files: DataFrame, path: str = "path", content: str = "content", targe
 
 
 def shard_of(up: Upload, batch: int = 0, created: int | None = None, expires: int | None = None) -> DataFrame:
-    """batch, path, content: the shard that registers an upload's files and new packs."""
+    """batch, part, path, content: the shard that registers an upload's files and new packs, or several where
+    they don't fit in one."""
     t = up.terms.join(up.files.select("file", "file_hash", "sha256"), "file").withColumn("batch", F.lit(batch))
     c = up.packed.join(up.packs.select(F.col("pack_hash").alias("pack"), "disk_bytes"), "pack").withColumnRenamed("chunk_key", "chunk_hash").withColumn("batch", F.lit(batch))
     return assemble.write_shards(t, c, created, expires)
@@ -87,7 +88,7 @@ def shard_of(up: Upload, batch: int = 0, created: int | None = None, expires: in
 
 def commit(up: Upload, store: str, known: DataFrame | None = None) -> DataFrame:
     """Sends the packs to the store, then checks that every pack that terms name is there (known: pack, of
-    those that a service holds besides); returns the shard, which is to be sent last."""
+    those that a service holds besides); returns the shards, which are to be sent last."""
     assemble.store_packs(up.packs, store)
     there = assemble.stored_packs(up.terms.sparkSession, store).select(F.col("pack_hash").alias("pack"))
     if known is not None:

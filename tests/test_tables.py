@@ -101,6 +101,26 @@ def test_no_plan_meets_in_one_task(spark):
         assert "first_chunk" not in plan and ">=" not in "".join(x for x in plan.split("\n") if "Join" in x)
 
 
+def test_batches_beyond_a_shard(spark):
+    """A batch too large for one shard of 64 MiB goes into several, whole and in order."""
+    hex_ = lambda *c: F.sha2(F.concat_ws("-", *c).cast("binary"), 256)
+    terms = spark.range(3000).select((F.col("id") % 2).alias("batch"), hex_(F.col("id") % 500).alias("file_hash"), hex_(F.lit("s")).alias("sha256"), F.floor(F.col("id") / 500).alias("term_ord"), hex_(F.lit("p"), F.col("id")).alias("pack"), F.lit(7).cast("long").alias("unpacked_length"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"), hex_(F.lit("v"), F.col("id")).alias("verification"))
+    chunks = spark.range(1_500_000).select(F.lit(1).cast("long").alias("batch"), hex_(F.lit("p"), F.floor(F.col("id") / 8192)).alias("pack"), (F.col("id") % 8192).alias("idx"), hex_("id").alias("chunk_hash"), (F.col("id") % 8192 * 3).alias("byte_range_start"), F.lit(3).cast("long").alias("length"), F.lit(11).cast("long").alias("disk_bytes"))
+    full = assemble.write_shards(terms, chunks, 5, 9).persist()
+    assert sorted((r["batch"], r["part"], r["path"]) for r in full.collect()) == [(0, 0, "batch-0"), (1, 0, "batch-1"), (1, 1, "part-1-of-batch-1")]
+    got = shards.read_shards(full.where("batch = 1"), "chunks").agg(F.count("*"), F.countDistinct("chunk_hash"), F.sum("length"), F.countDistinct("pack")).first()
+    foot = shards.read_shards(full.where("batch = 1"), "footers").agg(F.sum("stored_bytes"), F.sum("disk_bytes"), F.sum("materialized_bytes")).first()
+    full.unpersist()
+    assert tuple(got) == (1_500_000, 1_500_000, 4_500_000, 184) and tuple(foot) == (4_500_000, 184 * 11, 1500 * 7)
+    # many small shards hold what one holds, each within the limit
+    some, rows = chunks.where("idx < 200"), lambda f, p: sorted(map(tuple, shards.read_shards(f.withColumn("path", F.lit("")), p).collect()))
+    one, many = (assemble.write_shards(terms, some, max_bytes=n).persist() for n in (64 << 20, 500_000))
+    assert one.count() == 2 and all(len(r["content"]) <= 500_000 for r in many.collect()) and many.count() > 4
+    assert all(rows(one, p) == rows(many, p) for p in ("terms", "chunks"))
+    with pytest.raises(Exception, match="shard size"):
+        assemble.write_shards(terms, chunks.withColumn("pack", F.lit("ab" * 32))).collect()
+
+
 def test_shard_source(spark, tmp_path):
     from .test_chunks import some_shard
 
