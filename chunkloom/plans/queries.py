@@ -578,7 +578,10 @@ def assembled_chunks(spark, sf_dir):
 select 'batch-' || coalesce(a.b, d.b) as path, '{hashes.ZERO}' as hmac_key, 5::bigint as created, 9::bigint as expires, coalesce(n, 0)::bigint as disk_bytes, coalesce(m, 0)::bigint as materialized_bytes, coalesce(s, 0)::bigint as stored_bytes
 from a full join d on a.b = d.b left join e on e.b = coalesce(a.b, d.b)""")
 def assembled_footers(spark, sf_dir):
-    return shards.read_shards(_assembled(spark, sf_dir), "footers")
+    """By batch: the totals of all its shards."""
+    f = shards.read_shards(_assembled(spark, sf_dir), "footers")
+    sums = [F.sum(c).alias(c) for c in ("disk_bytes", "materialized_bytes", "stored_bytes")]
+    return f.groupBy("path", "hmac_key", "created", "expires").agg(*sums)
 
 
 # Ranges of packs
