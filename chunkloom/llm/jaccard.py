@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, few, once, staged, tidy, trim
@@ -379,7 +379,8 @@ def _bloom(ids: DataFrame, c: str, words: int = 1 << 18) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, rows: DataFrame, shorts: DataFrame) -> DataFrame:
-    """class, short, n, bits, tokens of the candidates: their sets, made again from one document of each."""
+    """class, short, n, bits, tokens of the candidates: their sets, made again from one document of each; and
+    what shorts has of each short besides."""
     reps = rows.where("n > 0").join(shorts, "short", "left_semi").groupBy("class").agg(F.min("row").alias("row"))
     bits = docs.sparkSession.sparkContext.broadcast(_bloom(reps, "row"))
     words = len(bits.value)
@@ -396,8 +397,24 @@ def _sets_of(docs: DataFrame, rows: DataFrame, shorts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, *cols), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
 
     found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(tidy(run), "class binary, short long, n long, bits binary, tokens binary")
-    # texts that differ in case or spacing may share a set: one row a class
-    return staged(few(found.join(shorts, "short", "left_semi").dropDuplicates(["class"])), "candidates")
+    # texts that differ in case or spacing may share a set: one row a class, whose short lies where the join left it
+    return staged(few(found.join(shorts, "short").dropDuplicates(["short", "class"])), "candidates")
+
+
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """class, n, bits, tokens of the classes in ids (class), and of few others: sets are large, and a join would
+    shuffle all of them to find these."""
+    bits = sets.sparkSession.sparkContext.broadcast(_bloom(ids, "class"))
+    words = len(bits.value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        for b in batches:
+            h = b.column(4).to_numpy(zero_copy_only=False)
+            ok = table[np.mod(h, words)] >> np.mod(h >> 32, 64) & 1
+            yield b.select([0, 1, 2, 3]).filter(pa.array(ok.astype(bool)))
+
+    return sets.select("class", "n", "bits", "tokens", F.xxhash64("class").alias("h")).mapInArrow(tidy(run), "class binary, n long, bits binary, tokens binary")
 
 
 def _maps(bits: list[bytes]) -> np.ndarray:
@@ -412,7 +429,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
             ok = [linked(_unpacked(x), _unpacked(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    one = lambda c: sets.select(F.col("class").alias(c), F.col("tokens").alias(f"t{c}"))
+    held = _only(sets, pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    one = lambda c: held.select(F.col("class").alias(c), F.col("tokens").alias(f"t{c}"))
     both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "ta", "tb")
     return staged(few(both.mapInArrow(tidy(exact), "a binary, b binary"), walked=True), f"{name}-links")
 
@@ -483,12 +501,15 @@ def _tree(t: pa.Table) -> Tree:
     return Tree(_numbers(t, "n"), _maps(t.column("bits").to_pylist()), comp)
 
 
-def _joined(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+def _largest() -> Column:
+    return F.max(F.struct("size", "key")).alias("g")
+
+
+def _joined(sets: DataFrame, turn: int) -> DataFrame:
     """a, b: components that the trees of each class's largest group join, b the lowest of those joined.
-    members: key, size, class, comp."""
-    own = members.groupBy("class", "comp").agg(F.max(F.struct("size", "key")).alias("g")).select("class", "comp", "g.key", "g.size")
-    chunk = F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("size") / CHUNK)).cast("int")
-    rows = own.join(sets, "class").select("key", chunk.alias("chunk"), "comp", "n", "bits", "tokens")
+    sets: class, comp, n, bits, tokens, and of its largest group g (size, key)."""
+    chunk = F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("g.size") / CHUNK)).cast("int")
+    rows = sets.select("g.key", chunk.alias("chunk"), "comp", "n", "bits", "tokens")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 2):
@@ -591,13 +612,16 @@ def near_duplicates(docs: DataFrame, with_row: bool = False) -> DataFrame:
     groups = _groups(_shared_keys(docs, often[order], counts[order], parts), rows)
     del top, often, counts, order
     trim()
-    sets = _sets_of(docs, rows, groups.select("short").distinct())
+    sets = _sets_of(docs, rows, groups.groupBy("short").agg(_largest()))
     members = staged(few(groups.join(sets.select("short", "class"), "short").select("key", "size", "class")), "members")
     # each class is in one chunk, so what is joined are stars
-    roots = _joined(members.withColumn("comp", F.col("class")), sets, 0).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = _joined(sets.withColumn("comp", F.col("class")), 0).select(F.col("a").alias("node"), F.col("b").alias("root"))
     mixed, turn, tested = _mixed(members, roots), 0, None
     # chunks of a large group have grown apart; dealt anew, what has grown meets
-    roots = _grown(roots, _joined(mixed.where(F.col("size") > CHUNK), sets, 1))
+    large = mixed.where(F.col("size") > CHUNK)
+    if large.limit(1).count():
+        own = large.groupBy("class", "comp").agg(_largest())
+        roots = _grown(roots, _joined(own.join(_only(sets, own), "class"), 1))
     while True:
         turn += 1
         mixed = _mixed(mixed, roots)

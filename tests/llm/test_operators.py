@@ -770,3 +770,13 @@ def _word_tokenizer(path):
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
+
+
+def test_pairs_bring_only_their_sets(spark):
+    """Of the sets, those that pairs name go into the joins, not all."""
+    sets = spark.range(2000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).cast("binary").alias("class"), "id", F.lit(8).cast("long").alias("n"), F.lit(b"m").alias("bits"), F.lit(b"123456").alias("tokens"))
+    ids = sets.where("id % 100 = 0").select("class")
+    found = jaccard._only(sets.drop("id"), ids)
+    assert found.columns == ["class", "n", "bits", "tokens"]
+    assert ids.join(found, "class").count() == 20 and found.count() < 40
+    assert jaccard._only(sets.drop("id"), ids.limit(0)).count() == 0
