@@ -550,7 +550,7 @@ def merkle_groups(spark, sf_dir):
 
 
 def _assembled(spark, sf_dir) -> DataFrame:
-    """Four batches of files, and packs: each a shard, or several of 64 MiB at most, under one path."""
+    """Four batches of files, and packs: each a shard, or several of 64 MiB at most, under one path, in pieces."""
     digest = lambda *parts: F.sha2(F.concat(*parts).cast("binary"), 256)
     c, packed = packed_lines(spark, sf_dir)
     sha = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
@@ -559,7 +559,7 @@ def _assembled(spark, sf_dir) -> DataFrame:
     p = packing.pack_listing(packed).withColumn("batch", F.col("pack") % 4)
     p = p.select("batch", digest(F.lit("pack"), F.col("pack").cast("string")).alias("pack"), "idx", F.col("chunk_key").alias("chunk_hash"), "byte_range_start", "length", (F.col("pack") + 7).alias("disk_bytes"))
     parts = [t.where(F.col("batch") < 2), t.where(F.col("batch") >= 2)]
-    return assemble.write_shards(parts[0].unionByName(parts[1]), p, 5, 9).withColumn("path", F.concat(F.lit("batch-"), "batch"))
+    return assemble.write_shards(parts[0].unionByName(parts[1]), p, 5, 9, piece=shards.PIECE).withColumn("path", F.concat(F.lit("batch-"), "batch"))
 
 
 @query(f"""with recursive {TERMS} select 'batch-' || (file % 4) as path, sha256(file::varchar) as file_hash, sha256(text) as sha256, term_ord::int as term_ord, sha256('pack' || pack) as pack, unpacked_length, "start", "end", sha256('v' || term_ord) as verification

@@ -3,7 +3,8 @@
 A shard is one file of 64 MiB at most. The records of each file and each pack are made in parallel; then
 one task for a batch strings them together in order, and starts a further shard where the next would
 not fit, so it holds no more than a shard at a time. Only a file or a pack that fits in no shard, with
-some 700,000 terms or 1,400,000 chunks, raises an error.
+some 700,000 terms or 1,400,000 chunks, raises an error. A row of 64 MiB is held several times over by each
+operator that it passes in the JVM; where shards are read on, they go in pieces.
 """
 
 from __future__ import annotations
@@ -49,18 +50,23 @@ def _records(rows: DataFrame, name: str, one: str, row: list[str], kind: int) ->
     return by.mapInArrow(run, f"batch {rows.schema['batch'].dataType.simpleString()}, kind int, name string, records binary, disk long, bytes long, verified boolean")
 
 
-def write_shards(terms: DataFrame, chunks: DataFrame, created: int | None = None, expires: int | None = None, hmac_key: str = ZERO, max_bytes: int = shards.MAX_SHARD) -> DataFrame:
+def write_shards(terms: DataFrame, chunks: DataFrame, created: int | None = None, expires: int | None = None, hmac_key: str = ZERO, max_bytes: int = shards.MAX_SHARD, piece: int | None = None) -> DataFrame:
     """terms: batch, file_hash, sha256, term_ord, pack, unpacked_length, start, end, verification; chunks:
     batch, pack, idx, chunk_hash, byte_range_start, length, disk_bytes (of the whole pack). Returns batch,
     part, path, content: of each batch in either one shard, or as many of max_bytes at most as it takes,
     numbered by part; files, then packs, in order of their hashes; each with footer totals of its own:
-    materialized (the files), stored (the chunks) and disk bytes (the packs)."""
+    materialized (the files), stored (the chunks) and disk bytes (the packs). piece: where given, a shard
+    comes as rows of so many bytes at most, numbered by a column piece, that follow one another as
+    read_shards takes them."""
 
-    def shard(batch: pa.Array, part: int, held: tuple[list, list], sums: list[int]) -> pa.RecordBatch:
+    def shard(batch: pa.Array, part: int, held: tuple[list, list], sums: list[int]) -> Iterator[pa.RecordBatch]:
         key = batch[0].as_py()
         data = shards.framed(*held, shards.Footer(hmac_key, created, expires, *sums))
         path = f"part-{part}-of-batch-{key}" if part else f"batch-{key}"
-        return pa.RecordBatch.from_arrays([batch, pa.array([part], pa.int32()), pa.array([path]), pa.array([data], pa.binary())], ["batch", "part", "path", "content"])
+        step = piece or len(data)
+        for n, at in enumerate(range(0, len(data), step)):
+            cols = [batch, pa.array([part], pa.int32()), pa.array([path]), pa.array([n], pa.int32()), pa.array([data[at : at + step]], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["batch", "part", "path", "piece", "content"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, part, size, held, sums, checks = None, 0, 0, ([], []), [0, 0, 0], set()
@@ -70,7 +76,7 @@ def write_shards(terms: DataFrame, chunks: DataFrame, created: int | None = None
                 own = b.column(0).slice(i, 1)
                 other = batch is not None and batch[0] != own[0]
                 if size and (other or size + len(records) + frame > max_bytes):
-                    yield shard(batch, part, held, sums)
+                    yield from shard(batch, part, held, sums)
                     part, size, held, sums = part + 1, 0, ([], []), [0, 0, 0]
                 if other or batch is None:
                     batch, part, checks = own, 0, set()
@@ -83,11 +89,12 @@ def write_shards(terms: DataFrame, chunks: DataFrame, created: int | None = None
                 sums[0] += disk
                 sums[1 + kind] += n
         if size:
-            yield shard(batch, part, held, sums)
+            yield from shard(batch, part, held, sums)
 
     units = _records(terms, "file_hash", "sha256", _TERM, 0).unionByName(_records(chunks, "pack", "disk_bytes", _CHUNK, 1))
     dealt = units.repartition("batch").sortWithinPartitions("batch", "kind", "name")
-    return dealt.mapInArrow(walk, f"batch {units.schema['batch'].dataType.simpleString()}, part int, path string, content binary")
+    out = dealt.mapInArrow(walk, f"batch {units.schema['batch'].dataType.simpleString()}, part int, path string, piece int, content binary")
+    return out if piece else out.drop("piece")
 
 
 def united(batches: list[DataFrame], batch) -> DataFrame:

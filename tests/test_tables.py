@@ -121,6 +121,24 @@ def test_batches_beyond_a_shard(spark):
         assemble.write_shards(terms, chunks.withColumn("pack", F.lit("ab" * 32))).collect()
 
 
+def test_shards_in_pieces(spark):
+    """Shards that are read on pass as rows of few bytes, and are what they are as one row each."""
+    hex_ = lambda *c: F.sha2(F.concat_ws("-", *c).cast("binary"), 256)
+    long = lambda n: F.lit(n).cast("long")
+    terms = spark.range(90).select((F.col("id") % 2).alias("batch"), hex_("id").alias("file_hash"), hex_(F.lit("s")).alias("sha256"), F.lit(0).alias("term_ord"), hex_(F.lit("p")).alias("pack"), long(7).alias("unpacked_length"), long(0).alias("start"), long(1).alias("end"), hex_(F.lit("v")).alias("verification"))
+    chunks = spark.range(60).select((F.col("id") % 2).alias("batch"), hex_(F.lit("p"), F.col("id") % 2).alias("pack"), F.col("id").alias("idx"), hex_("id").alias("chunk_hash"), (F.col("id") * 3).alias("byte_range_start"), long(3).alias("length"), long(11).alias("disk_bytes"))
+    one, cut = (assemble.write_shards(terms, chunks, 5, 9, max_bytes=5000, piece=n) for n in (None, 1000))
+    rows = sorted((r["batch"], r["part"], r["piece"], bytes(r["content"])) for r in cut.collect())
+    assert max(len(r[3]) for r in rows) == 1000 and len({r[:2] for r in rows}) > 4
+    assert {(r["batch"], r["part"]): bytes(r["content"]) for r in one.collect()} == {k: b"".join(r[3] for r in rows if r[:2] == k) for k in {r[:2] for r in rows}}
+    # several shards under one path, as the queries read them
+    read = lambda f, part: sorted(map(tuple, shards.read_shards(f.withColumn("path", F.lit("")), part).collect()), key=str)
+    assert all(len(got := read(cut, p)) >= n and got == read(one, p) for p, n in (("terms", 90), ("chunks", 60), ("footers", 4)))
+    with pytest.raises(Exception, match="not in a row"):
+        read(cut.where("piece <> 1"), "terms")
+    assert max(r["n"] for r in Q._assembled(spark, SF).select(F.length("content").alias("n"), "piece").collect()) <= shards.PIECE
+
+
 def test_shard_source(spark, tmp_path):
     from .test_chunks import some_shard
 
