@@ -61,6 +61,8 @@ FREQUENT, LEAST_COUNT = 400_000, 4
 HOT = 20_000
 #: Shingles that a worker counts together, and keys that it holds before it passes them on.
 HELD, PASSED = 1_000_000, 300_000
+#: Below so many hashes the tighter coding is the longer one.
+FEW = 37
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -88,8 +90,8 @@ def class_of(s: np.ndarray) -> bytes:
 
 
 def short_of(c: bytes) -> int:
-    """47 bits of a class, as keys carry it. Classes that have them in common are candidates together."""
-    return int.from_bytes(c[:6]) >> 1
+    """39 bits of a class, as keys carry it. Classes that have them in common are candidates together."""
+    return int.from_bytes(c[:5]) >> 1
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -241,13 +243,36 @@ def _keys(s: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndar
 
 
 def _packed(a: np.ndarray) -> bytes:
-    """Six bytes of each: the upper 48 bits."""
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+    """The upper 48 bits of each of sorted numbers, in some 41 where there are many: five bytes of each, and of
+    their top bytes, which ascend, how far each is beyond the one before, in unary."""
+    k, n = a >> np.uint64(16), len(a)
+    if n < FEW:
+        return n.to_bytes(4, "little") + np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    steps = np.zeros(n + 256, np.uint8)
+    steps[(k >> np.uint64(40)).astype(np.int64) + np.arange(n)] = 1
+    return n.to_bytes(4, "little") + np.packbits(steps).tobytes() + _five(k)
 
 
 def _unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    n = int.from_bytes(b[:4], "little")
+    m = (n + 256 + 7) // 8
+    out = np.zeros((n, 8), np.uint8)
+    if n < FEW:
+        out[:, 2:] = np.frombuffer(b, np.uint8, offset=4).reshape(n, 6)
+        return out.view("<u8").ravel()
+    out[:, 2:7] = np.frombuffer(b, np.uint8, offset=4 + m).reshape(n, 5)
+    out[:, 7] = np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8, m, 4))) - np.arange(n)
+    return out.view("<u8").ravel()
+
+
+def _five(a: np.ndarray) -> bytes:
+    """Five bytes of each: the lower 40 bits."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _of_five(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
@@ -308,10 +333,10 @@ def _shared_keys(docs: DataFrame, often: np.ndarray, counts: np.ndarray, parts:
             k, m = np.concatenate(keys), np.concatenate(marks)
             to = _parts_of(k, m >> np.uint64(1), hot, ways, deal)
             order = np.lexsort((k, to))
-            k, m, to = k[order] << np.uint64(16), m[order] << np.uint64(16), to[order]
+            k, m, to = k[order] << np.uint64(16), m[order], to[order]
             there, starts = np.unique(to, return_index=True)
             ends = np.append(starts[1:], len(to))
-            return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([_packed(k[i:j]) for i, j in zip(starts, ends)], pa.binary()), pa.array([_packed(m[i:j]) for i, j in zip(starts, ends)], pa.binary())], ["to", "keys", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([_packed(k[i:j]) for i, j in zip(starts, ends)], pa.binary()), pa.array([_five(m[i:j]) for i, j in zip(starts, ends)], pa.binary())], ["to", "keys", "marks"])
 
         for b in _small(batches):
             for t in b.column(0).to_pylist():
@@ -333,7 +358,7 @@ def _shared_keys(docs: DataFrame, often: np.ndarray, counts: np.ndarray, parts:
         ks, ms = [], []
         for b in batches:
             ks += [upper(_unpacked(x.as_py())) for x in b.column(1)]
-            ms += [upper(_unpacked(x.as_py())) for x in b.column(2)]
+            ms += [_of_five(x.as_py()) for x in b.column(2)]
         if not ks:
             return
         k, m = np.concatenate(ks), np.concatenate(ms)
@@ -381,8 +406,9 @@ def _bloom(ids: DataFrame, c: str, words: int = 1 << 18) -> np.ndarray:
 def _sets_of(docs: DataFrame, rows: DataFrame, shorts: DataFrame) -> DataFrame:
     """class, short, n, bits, tokens of the candidates: their sets, made again from one document of each; and
     what shorts has of each short besides."""
-    reps = rows.where("n > 0").join(shorts, "short", "left_semi").groupBy("class").agg(F.min("row").alias("row"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(reps, "row"))
+    reps = rows.where("n > 0").join(shorts, "short", "left_semi").groupBy("class").agg(F.min(F.struct("row", "doc_id")).alias("r"))
+    # by id, too: of exact copies one goes on
+    bits = docs.sparkSession.sparkContext.broadcast(_bloom(reps.select(F.xxhash64("r.row", "r.doc_id").alias("one")), "one"))
     words = len(bits.value)
     names = ["class", "short", "n", "bits", "tokens"]
 
@@ -396,7 +422,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, shorts: DataFrame) -> DataFrame:
             cols = [short_of(c) for c in ids], [len(s) for s in sets], [bitmap(s).tobytes() for s in sets], [_packed(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, *cols), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
 
-    found = docs.select("text", F.xxhash64(F.xxhash64("text")).alias("h")).mapInArrow(tidy(run), "class binary, short long, n long, bits binary, tokens binary")
+    found = docs.select("text", F.xxhash64(F.xxhash64(F.xxhash64("text"), "doc_id")).alias("h")).mapInArrow(tidy(run), "class binary, short long, n long, bits binary, tokens binary")
     # texts that differ in case or spacing may share a set: one row a class, whose short lies where the join left it
     return staged(few(found.join(shorts, "short").dropDuplicates(["short", "class"])), "candidates")
 

@@ -304,6 +304,20 @@ def families(seed=5):
     return out
 
 
+def test_packed_hashes(spark):
+    """Sorted hashes come back whole, in less than six bytes each; exact copies give one set."""
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 36, 37, 500, 20_000):
+        a = np.sort(r.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True))
+        a[: n // 3], a[n - n // 5 :] = 0, 2**64 - 1
+        b = jaccard._packed(a)
+        assert (jaccard._unpacked(b) >> np.uint64(16)).tolist() == (a >> np.uint64(16)).tolist() and len(b) <= (4 + 6 * n if n < 500 else 5.25 * n)
+    docs = docs_of(spark, list(enumerate(["a b c d e f g h"] * 40 + ["a b c d e f g i"] * 3 + [None, ""])))
+    rows, _ = jaccard._sets(docs)
+    sets = jaccard._sets_of(docs, rows, rows.where("n > 0").select("short").distinct())
+    assert sets.count() == 2
+
+
 def test_jaccard(spark, odd, monkeypatch):
     for texts in (ODD, families()):
         got = sorted(repr(tuple(r)) for r in jaccard.near_duplicates(docs_of(spark, texts)).collect())
